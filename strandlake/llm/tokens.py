@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 CACHE_PIECES = 500_000
@@ -94,7 +95,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // most_bytes
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
