@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import packing
+from strandlake.llm import huffman, packing
 
 
 def queries() -> dict:
-    return {"op3_packing": packing.op3_packing}
+    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
