@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import huffman, packing
+from strandlake.llm import huffman, mixing, packing
 
 
 def queries() -> dict:
-    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files}
+    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
