@@ -83,8 +83,11 @@ def move(p: float, a: int, q: float, b: int, u: float) -> tuple[float, float]:
 
 
 def _pivot(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rounds a bucket: at most one document of a source stays open."""
-    rows = rows.sort_values(["source", "key", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    """Rounds a bucket: at most one document of a source stays open.
+
+    Long documents are paired first, so that the one left open is short.
+    """
+    rows = rows.sort_values(["source", "size", "key", "doc_id"], ascending=[True, False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     p, size, key, source, done = (rows[c].tolist() for c in ("p", "size", "key", "source", "done"))
     held: dict = {}
     for i in range(len(rows)):
