@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strandlake.llm import huffman, mixing, packing
+from strandlake.llm import huffman, mixing, packing, warc
 
 
 def queries() -> dict:
-    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op9_mixing": mixing.op9_mixing}
+    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op9_mixing": mixing.op9_mixing, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": warc.ORACLE_SQL}
