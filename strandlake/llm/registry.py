@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import huffman, mixing, packing, toxicity, warc
+from strandlake.llm import huffman, minhash, mixing, packing, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing, "op10_warc": warc.op10_warc}
+    return {"op1_minhash": minhash.op1_minhash, "op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
