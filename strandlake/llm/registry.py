@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strandlake.llm import huffman, minhash, mixing, packing, suffix, toxicity, warc
+from strandlake.llm import chat, huffman, minhash, mixing, packing, suffix, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_minhash": minhash.op1_minhash, "op2_suffix_dedup": suffix.op2_suffix_dedup, "op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing, "op10_warc": warc.op10_warc}
+    return {"op1_minhash": minhash.op1_minhash, "op2_suffix_dedup": suffix.op2_suffix_dedup, "op3_packing": packing.op3_packing, "op5_token_files": huffman.op5_token_files, "op7_chat": chat.op7_chat, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.ORACLE_SQL}
+    return {"op7_chat": chat.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
