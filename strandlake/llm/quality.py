@@ -110,7 +110,8 @@ RULES = (
     Rule("symbols", ("n_symbols", "n_words"), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("repeated_lines", ("n_dup_lines", "n_words"), lambda: 3 * F.col("n_dup_lines") > F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))),
     Rule("shouting", ("word_chars",), lambda: 2 * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) > F.col("word_chars")),
-    Rule("no_function_words", ("n_words",), lambda: ~F.arrays_overlap(F.transform(F.col("w"), lambda x: F.lower(x)), _stop_words())),
+    Rule("stutters", ("n_words",), lambda: 10 * F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1))) > 3 * F.col("n_words")),
+    Rule("no_function_words", ("n_words",), lambda: (F.col("n_words") >= 60) & ~F.arrays_overlap(F.transform(F.col("w"), lambda x: F.lower(x)), _stop_words())),
 )
 BASE = ("too_short", "repeats_itself")
 
@@ -186,6 +187,7 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 3 * n_dup_lines > len(lines)
     OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > word_chars
-    OR NOT list_has_any(list_transform(w, lambda x: lower(x)), ['the', 'and', 'of', 'to', 'in', 'is', 'that', 'for', 'le', 'la', 'de', 'et', 'les', 'des', 'que', 'der', 'die', 'das', 'und', 'den', 'ein', 'el', 'los', 'en', 'un', 'es', 'una', 'con'])) AS kept
+    OR 10 * len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > 3 * n_words
+    OR n_words >= 60 AND NOT list_has_any(list_transform(w, lambda x: lower(x)), ['the', 'and', 'of', 'to', 'in', 'is', 'that', 'for', 'le', 'la', 'de', 'et', 'les', 'des', 'que', 'der', 'die', 'das', 'und', 'den', 'ein', 'el', 'los', 'en', 'un', 'es', 'una', 'con'])) AS kept
 FROM b
 """
