@@ -38,28 +38,42 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
-    """The pieces (by index) of each of ``windows`` windows of nearly equal sum."""
+    """The pieces (by index) of each of ``windows`` windows of nearly equal sum.
+
+    A partial partition is its windows' sums and, for each window, the first and
+    last of a chain of pieces (-1: none), so that a merge links chains only.
+    """
     if windows == 1:
         return [list(range(len(lengths)))]
-    heap = []
-    for i, n in enumerate(lengths):
-        sums = np.zeros(windows, np.int64)
-        sums[-1] = n
-        heap.append((-n, i, sums, [[] for _ in range(windows - 1)] + [[i]]))
+    chain = np.full(len(lengths) + 1, -1)
+    sums, ends = np.zeros((len(lengths), windows), np.int64), np.full((len(lengths), 2, windows), -1)
+    sums[:, -1] = lengths
+    ends[:, :, -1] = np.arange(len(lengths))[:, None]
+    heap = [(-n, i, i) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
-    serial = len(lengths)
+    serial = len(heap)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        in_b.reverse()
-        held = [x + y if y else x for x, y in zip(in_a, in_b, strict=True)]
-        sums = sums[order]
-        sums -= sums[0]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        total = sums[a] + sums[b, ::-1]
+        order = total.argsort(kind="stable")
+        (head, tail), (head_b, tail_b) = ends[a], ends[b, :, ::-1]
+        free = tail < 0
+        chain[tail] = np.where(free, -1, head_b)
+        ends[a, 0] = np.where(free, head_b, head)[order]
+        ends[a, 1] = np.where(tail_b < 0, tail, tail_b)[order]
+        total = total[order]
+        total -= total[0]
+        sums[a] = total
         serial += 1
-        heapq.heappush(heap, (-int(sums[-1]), serial, sums, [held[k] for k in order]))
-    return heap[0][3] if heap else [[] for _ in range(windows)]
+        heapq.heappush(heap, (-int(total[-1]), serial, a))
+    out = []
+    for at in ends[heap[0][2], 0].tolist() if heap else [-1] * windows:
+        out.append([])
+        while at >= 0:
+            out[-1].append(at)
+            at = int(chain[at])
+    return out
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -7,18 +7,27 @@ kept, so a frequent piece costs one look-up. The cache is bounded.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 CACHED_CHARS = 40
 JOINED = 400
 
+#: Fixed value: the word rule under which letters and marks are parted.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -35,29 +44,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = splits_at_blanks(self.tokenizer)
+        self.bare = bare_words(path)
         self.cache: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> list[np.ndarray]:
         """One uint32 array per text (null: as empty), ``end_id`` appended."""
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         if not self.splits:
             return [np.frombuffer(self._plain(t or "") + end, "<u4") for t in texts]
+        gc.disable()  # millions of strings, no cycles: its passes would take a third of the time
+        try:
+            return self._looked_up(texts, end)
+        finally:
+            gc.enable()
+
+    def _looked_up(self, texts: list[str | None], end: bytes) -> list[np.ndarray]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.cache
-        missing = {p for one in pieces for p in one if p not in known}
+        found = [[*map(self.cache.get, one)] for one in pieces]
+        missing = {p for one, ids in zip(pieces, found, strict=True) if None in ids for p, i in zip(one, ids, strict=True) if i is None}
         if missing:
-            found = self._many(list(missing))
-            if len(known) < CACHE_PIECES:
-                known.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_CHARS)
-            get = lambda p, f=found.get, k=known: k[p] if p in k else f(p)
-        else:
-            get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, one)) + end, "<u4") for one in pieces]
+            new = self._many(list(missing))
+            if len(self.cache) < CACHE_PIECES:
+                self.cache.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_CHARS)
+            found = [[new[p] if i is None else i for p, i in zip(one, ids, strict=True)] if None in ids else ids for one, ids in zip(pieces, found, strict=True)]
+        return [np.frombuffer(b"".join(ids) + end, "<u4") for ids in found]
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _many(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces without blanks. A piece of plain letters, and ASCII
+        punctuation after them, is encoded by its lower-case letters and its
+        punctuation, which the tokenizer parts; so its spellings share a cache entry."""
+        if self.bare is None:
+            return self._joined(pieces)
+        parts, rest = {}, []
+        for p in pieces:
+            m = LETTERS_THEN_MARKS.fullmatch(p)
+            if m is None:
+                rest.append(p)
+                continue
+            word, mark = m.groups()
+            low = word.lower()
+            if p.isascii() or (low.isalpha() and word.isalpha() and "\u03a3" not in word and len(low) == len(word) and unicodedata.is_normalized("NFC", word)):
+                parts[p] = (low, mark)
+            else:
+                rest.append(p)
+        new = list({low for low, _ in parts.values() if low not in self.cores})
+        marks = list({m for _, m in parts.values() if m not in self.cores})
+        found = self._letters(new) | self._joined(marks)
+        if len(self.cores) < CACHE_PIECES:
+            self.cores.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_CHARS)
+        get = lambda p: found[p] if p in found else self.cores[p]
+        return self._joined(rest) | {p: get(low) + get(m) if m else get(low) for p, (low, m) in parts.items()}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """By the library's model alone; a word ends with an id of ``bare.ends``."""
+        out = {}
+        words = sorted(words, key=str.isascii)
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            ids = np.asarray(self.bare.tokenizer.encode(_shown(" ".join(part), self.bare.shown), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.bare.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                out |= self._joined(part)
+                continue
+            raw, first = ids.tobytes(), 0
+            for p, last in zip(part, cuts, strict=True):
+                out[p] = raw[4 * first : 4 * last]
+                first = last
+        return out
+
+    def _joined(self, pieces: list[str]) -> dict[str, bytes]:
         out = {}
         for k in range(0, len(pieces), JOINED):
             part = pieces[k : k + JOINED]
@@ -73,6 +132,41 @@ class Encoder:
         return out
 
 
+def _shown(text: str, shown: dict[int, str]) -> str:
+    """Letters and blanks as a byte-level vocabulary shows their UTF-8 bytes."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(shown)
+
+
+@dataclass(frozen=True)
+class Bare:
+    """A tokenizer's model without normalizer and word rule."""
+
+    tokenizer: object
+    shown: dict[int, str]  # byte to the character that stands for it
+    ends: np.ndarray  # of ids: whether a word ends there
+
+
+def bare_words(path: str) -> Bare | None:
+    """None unless the file lower-cases, parts letters from marks and marks word ends."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    words = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    suffix = spec["model"].get("end_of_word_suffix")
+    if normal != ["NFC", "Replace", "Lowercase"] or [w["type"] for w in words] != ["Split", "ByteLevel"] or words[0]["pattern"] != {"Regex": WORD_RULE} or not suffix:
+        return None
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}
+    ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+    ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    # Byte-level vocabularies show printable bytes as themselves, the others from U+0100 on.
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    shown = {b: chr(256 + k) for k, b in enumerate(others) if b != 32}
+    return Bare(Tokenizer.from_str(json.dumps(spec)), shown, ends)
+
+
 def splits_at_blanks(tokenizer) -> bool:
     """Whether pieces between blanks may be encoded apart: tried on a probe."""
     probe = ["ab", "Cd,", "(e)", "f1", "é", "x's"]
