@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from strandlake.plans import alignment_queries, cluster_queries, sequence_queries, table_queries
+
 FLAGSHIP = "otu_summary"
+_PARTS = (sequence_queries, cluster_queries, alignment_queries, table_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
