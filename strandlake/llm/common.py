@@ -37,11 +37,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.held: dict[str, str] = {}
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        kept = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        self.held[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(self.held[name])
+        kept = self.spark.read.schema(df.schema).parquet(self.held[name])
         self.free()
         return kept
 
@@ -53,5 +55,5 @@ class Scratch:
     def drop(self, name: str = "") -> None:
         with contextlib.suppress(Exception):
             jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+            path = jvm.org.apache.hadoop.fs.Path(self.held.pop(name) if name else self.path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
