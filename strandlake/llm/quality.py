@@ -78,13 +78,13 @@ def repeated_window_words(found: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(found) <= window, F.lit(0).cast("long")).otherwise(let(each, counted))
 
 
-#: The counts of a document, from ``text`` and its words ``w``.
+#: The counts of a document, from ``text`` and its words ``__w``.
 COUNTS: dict[str, Callable[[], Column]] = {
-    "n_words": lambda: F.size("w").cast("long"),
-    "word_chars": lambda: F.length(F.array_join("w", "")).cast("long"),
+    "n_words": lambda: F.size("__w").cast("long"),
+    "word_chars": lambda: F.length(F.array_join("__w", "")).cast("long"),
     "n_symbols": lambda: F.coalesce(symbol_count(F.col("text")), F.lit(0).cast("long")),
     "n_dup_lines": lambda: repeated_lines(F.col("text")),
-    "n_repeat_words": lambda: repeated_window_words(F.col("w")),
+    "n_repeat_words": lambda: repeated_window_words(F.col("__w")),
 }
 
 
@@ -110,14 +110,14 @@ RULES = (
     Rule("symbols", ("n_symbols", "n_words"), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("repeated_lines", ("n_dup_lines", "n_words"), lambda: 3 * F.col("n_dup_lines") > F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))),
     Rule("shouting", ("word_chars",), lambda: 2 * F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) > F.col("word_chars")),
-    Rule("stutters", ("n_words",), lambda: 10 * F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1))) > 3 * F.col("n_words")),
-    Rule("no_function_words", ("n_words",), lambda: (F.col("n_words") >= 60) & ~F.arrays_overlap(F.transform(F.col("w"), lambda x: F.lower(x)), _stop_words())),
+    Rule("stutters", ("n_words",), lambda: 10 * F.size(F.filter("__w", lambda x, i: x == F.get("__w", i - 1))) > 3 * F.col("n_words")),
+    Rule("no_function_words", ("n_words",), lambda: (F.col("n_words") >= 60) & ~F.arrays_overlap(F.transform(F.col("__w"), lambda x: F.lower(x)), _stop_words())),
 )
 BASE = ("too_short", "repeats_itself")
 
 
 def with_counts(docs: DataFrame, counts: tuple[str, ...] = tuple(COUNTS)) -> DataFrame:
-    docs = docs.withColumn("w", words(F.col("text")))
+    docs = docs.withColumn("__w", words(F.col("text")))
     return docs.withColumns({c: COUNTS[c]() for c in counts})
 
 
@@ -159,7 +159,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     base = {r.name: r for r in rules}
     failed = base["too_short"].rejects() | base["repeats_itself"].rejects()
     kept = verdict(others)
-    return with_counts(docs).withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(kept, F.lit(False)))).drop("w")
+    return with_counts(docs).withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(kept, F.lit(False)))).drop("__w")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

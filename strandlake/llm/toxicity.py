@@ -185,9 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     return fit(got["own"].to_pylist(), got["swapped"].to_pylist(), got["toxic"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with score double (0 to 1) and predicted int; all other columns as they are."""
-    weights, bias, columns = model.weights, model.bias, docs.columns
+def score(docs: DataFrame, model: Model, name: str = "score", verdict: str = "predicted") -> DataFrame:
+    """The documents with the score (double, 0 to 1) and the verdict (int) under the given
+    names, in place of columns so named; all other columns as they are."""
+    weights, bias = model.weights, model.bias
+    docs = docs.drop(name, verdict).withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
         known: dict[str, int] = {}
@@ -204,11 +206,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                 known[w] = p
                         at.add(p)
                     out[k] = bias + weights[np.array(sorted(at), np.int64)].astype(np.float64).sum()
-                yield part.append_column("score", pa.array(sigmoid(out)))
+                yield part.append_column(name, pa.array(sigmoid(out)))
 
-    schema = docs.select(*columns).schema
-    scored = docs.mapInArrow(run, schema.add("score", "double"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    schema = docs.select("*").schema
+    scored = docs.mapInArrow(run, schema.add(name, "double"))
+    return scored.withColumn(verdict, (F.col(name) >= THRESHOLD).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
