@@ -12,10 +12,16 @@
    bucket one class is drawn as hub; the others are compared with it, never all
    with all.
 4. Verification on the whole sets, by a join; links are closed to components.
-5. What a hub leaves apart is compared in full: in every bucket that still holds
-   several components, each class outside the bucket's largest component is
-   compared with every class of another component in it. So no candidate pair
-   is lost, and pairs are only listed where their outcome can matter.
+5. Where a bucket still holds several components, its smaller ones are compared
+   with further hubs from its largest, ``ROUNDS`` times over.
+6. What is apart then is compared in full: in every bucket that holds several
+   components, each class outside the largest one with every class of another
+   component, unless one of two exact bounds rules the pair out. Jaccard distance
+   is a metric, so classes whose distances to the bucket's first hub differ by
+   more than the distance allowed cannot be near. And no more of a class can be
+   shared with another than the elements that any other class of these buckets
+   has. So no candidate pair is lost, and pairs are only listed where their
+   outcome can matter.
 """
 
 from __future__ import annotations
@@ -37,15 +43,15 @@ BANDS = 24
 ROWS = 5
 HASHES = BANDS * ROWS
 PERCENT = 80
+#: Further hubs that are tried before the full comparison.
+ROUNDS = 1
 #: Elements whose draws are made side by side.
 ELEMENTS = 1 << 15
 
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
-
-def words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_SPACES).split(" ") if w] if text else []
+def words(text: str | None) -> list[bytes]:
+    """Words in UTF-8, A-Z as a-z: both are what ``bytes`` does with ASCII letters and white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -55,8 +61,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 class Shingler:
@@ -68,7 +74,7 @@ class Shingler:
         self.k, self.known = shingle_words, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found, known = words((text or "").translate(_UPPER)), self.known
+        found, known = words(text), self.known
         hashes = [*map(known.get, found)]
         if None in hashes:
             new = {w: word_hash(w) for w, h in zip(found, hashes, strict=True) if h is None}
@@ -172,24 +178,25 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "elements"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
+        good, apart = [], []
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = np.concatenate([x, y])
             both.sort()
             same = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(100 * same >= percent * (len(x) + len(y) - same))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+            total = len(x) + len(y) - same
+            good.append(100 * same >= percent * total)
+            apart.append(1 - same / total)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(good, pa.bool_()), pa.array(apart, pa.float64())], names=["u", "v", "linked", "distance"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with whether they are linked, and their Jaccard distance, by their whole sets."""
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("elements").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(lambda x: _verified(x, percent), "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(lambda x: _compared(x, percent), "u long, v long, linked boolean, distance double")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -212,19 +219,31 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, p
     shared = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("by"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = scratch.keep(placed.join(shared.select(F.col("key").alias("k"), "hub"), F.col("key") == F.col("k")).select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    pairs = buckets.filter("id <> hub").filter(close(F.col("n"), F.col("hub_n"))).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    candidates = buckets.select("id").distinct()
-    texts = docs.join(candidates, F.col("doc_id") == F.col("id")).select("doc_id", "text")
+    pair = (F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    texts = docs.join(buckets.select("id").distinct(), F.col("doc_id") == F.col("id")).select("doc_id", "text")
     sets = scratch.keep(texts.mapInArrow(lambda b: _sets(b, shingle_words), "id long, elements binary"), "sets")
-    links = scratch.keep(_links(pairs, sets, percent), "links")
+    known = scratch.keep(_compare(buckets.filter("id <> hub").select(*pair).distinct(), sets, percent), "known")
+    links = known.filter("linked").select("u", "v")
     groups = scratch.keep(components(links, scratch, "first"), "groups")
-    rest = scratch.keep(_apart(buckets, groups, close), "rest")
-    more = scratch.keep(_links(rest, sets, percent), "more")
-    for name in ("pairs", "rest", "sets", "buckets"):
+    for k in range(ROUNDS):
+        split = scratch.keep(_split(buckets, groups), f"split{k}")
+        hubs = split.filter("component = top").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(k)).alias("by"), "id", "n")).alias("next")).select(F.col("key").alias("k"), "next")
+        tried = split.filter("component <> top").join(hubs, F.col("key") == F.col("k")).filter(close(F.col("n"), F.col("next.n"))).select("id", "component", "top", F.col("next.id").alias("hub"))
+        more = scratch.keep(_compare(tried.select(*pair).distinct(), sets, percent).filter("linked").select("u", "v"), f"tried{k}")
+        links = links.union(more)
+        # Components that found a hub take its component's name: not yet all that
+        # is connected, which only means that more is compared below.
+        hit = tried.join(more, (F.col("u") == F.least("id", "hub")) & (F.col("v") == F.greatest("id", "hub")), "left_semi")
+        names = hit.groupBy(F.col("component").alias("old")).agg(F.min("top").alias("new"))
+        now = split.select("id", "component").distinct().join(names, F.col("component") == F.col("old")).select(F.col("id").alias("node"), F.col("new").alias("component"))
+        groups = scratch.keep(groups.join(now.select("node"), "node", "left_anti").unionByName(now), f"groups{k}")
+    split = scratch.keep(_split(buckets, groups), "split")
+    shared = scratch.keep(_shared(split, sets), "shared")
+    rest = scratch.keep(_apart(split, shared, known, close, percent), "rest")
+    more = scratch.keep(_compare(rest, sets, percent).filter("linked").select("u", "v"), "more")
+    groups = scratch.keep(components(links.union(more), scratch, "last"), "closed")
+    for name in ("known", "sets", "buckets"):
         scratch.drop(name)
-    if not more.isEmpty():
-        groups = scratch.keep(components(links.union(more), scratch, "second"), "closed")
     # From classes to documents; equal doc_ids are one document and share its component.
     least = classes.join(groups, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.join(least.withColumnRenamed("digest", "same"), F.col("digest") == F.col("same"), "left")
@@ -232,15 +251,42 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, p
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(buckets: DataFrame, groups: DataFrame, close) -> DataFrame:
-    """Candidate pairs whose classes are in different components yet."""
-    now = buckets.select("key", "id", "n").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+def _split(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of buckets with several components: each class's component, and the bucket's largest (top)."""
+    now = buckets.join(groups, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(F.col("key").alias("k"), F.col("top.component").alias("top"))
-    split = now.join(largest, F.col("key") == F.col("k")).drop("k")
-    few = split.filter("component <> top").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    pairs = split.join(few, (F.col("key") == F.col("k")) & (F.col("component") != F.col("a_component")) & close(F.col("n"), F.col("a_n")))
-    return pairs.select(F.least("id", "a").alias("u"), F.greatest("id", "a").alias("v")).distinct()
+    return now.join(largest, F.col("key") == F.col("k")).drop("k")
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            found = [np.frombuffer(e.as_buffer(), np.int64) for e in part.column("elements")]
+            ids = np.repeat(part.column("id").to_numpy(), [len(e) for e in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["id", "element"])
+
+
+def _shared(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per class of split buckets: how many of its elements another of these classes has."""
+    held = sets.join(split.select("id").distinct(), "id", "left_semi").mapInArrow(_elements, "id long, element long")
+    common = held.groupBy("element").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("element").alias("e"))
+    return held.join(common, F.col("element") == F.col("e"), "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+
+
+def _apart(split: DataFrame, shared: DataFrame, known: DataFrame, close, percent: int) -> DataFrame:
+    """Candidate pairs whose classes are in different components yet and may be near."""
+    near = (F.col("u") == F.least("id", "hub")) & (F.col("v") == F.greatest("id", "hub"))
+    split = split.join(known.select("u", "v", "distance"), near, "left").join(shared.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
+    split = split.select("key", "id", "n", "component", "top", F.coalesce("s", F.lit(0)).alias("s"), F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("d"))
+    # A class that shares too little for even its own size is near none.
+    split = split.filter((100 + percent) * F.col("s") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    few = split.filter("component <> top").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), F.col("s").alias("a_s"), F.col("d").alias("a_d"))
+    may = close(F.col("n"), F.col("a_n")) & (F.abs(F.col("d") - F.col("a_d")) <= 1 - percent / 100 + 1e-9) & ((100 + percent) * F.least("s", "a_s") >= percent * (F.col("n") + F.col("a_n")))
+    pairs = split.join(few, (F.col("key") == F.col("k")) & (F.col("component") != F.col("a_component")) & may)
+    pairs = pairs.select(F.least("id", "a").alias("u"), F.greatest("id", "a").alias("v")).distinct()
+    return pairs.join(known, ["u", "v"], "left_anti")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
