@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import hits, tables
 from strandlake.plans import derived as d
+from strandlake.streaming.events import windowed
 
 QUERIES, ORACLES = {}, {}
 H = d.HITS_SQL
@@ -159,3 +160,8 @@ def nearest_names(spark, sf):
     words = p.filter("p_partkey <= 20").select(F.concat(F.lit("x"), "p_name").alias("w")).distinct()
     pairs = p.select("p_name").distinct().join(F.broadcast(words)).withColumn("d", F.levenshtein("w", "p_name"))
     return pairs.groupBy("w").agg(F.min(F.struct("d", "p_name")).alias("m")).select("w", F.col("m.p_name").alias("nearest"), F.col("m.d").alias("distance"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return windowed(d.table(spark, sf, "events")).withColumn("total", F.round("total", 4))

@@ -11,7 +11,7 @@ SLOW = {"tree_monophyly", "tree_common_ancestors", "tree_clades", "otu_names", "
 
 def rows(frame, columns):
     plain = frame[columns].astype(object).where(frame[columns].notna(), None)
-    cell = lambda x: round(float(x), 5) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else x if x is None or isinstance(x, (str, bool)) else round(float(x), 5)
+    cell = lambda x: x if x is None or isinstance(x, (str, bool)) else round(float(x), 5) + 0.0 if hasattr(x, "__float__") else str(x)
     return sorted(repr(tuple(map(cell, r))) for r in plain.itertuples(index=False, name=None))
 
 
