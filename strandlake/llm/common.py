@@ -41,6 +41,7 @@ class Scratch:
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.free()  # what came before is out of reach only now
         self.held[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(self.held[name])
         kept = self.spark.read.schema(df.schema).parquet(self.held[name])

@@ -14,15 +14,17 @@ That order is built from a parse and a dictionary instead of from all suffixes:
    repeats is so handled once per phrase, which is the point on such text.
 2. Anchors. Only suffixes of dictionary phrases at their least document are
    left. Those that can be equal share their anchor: the least-hashed
-   ``GRAM``-byte string in their first ``MATCH`` bytes. Anchors of one document
-   alone drop their suffixes.
-3. Suffix arrays. The remaining dictionary suffixes of a batch of documents are
-   sorted by their first ``MATCH`` bytes; of equal ones only the least
-   document's goes on, the rest are repeats. The sorted pieces of all batches
-   meet by a hash of those bytes and are merged the same way.
+   ``GRAM``-byte string in their first ``MATCH`` bytes. Suffixes whose anchor no
+   other document has are dropped. The others travel by their anchor, as pieces
+   of text that hold all neighbouring suffixes with the same one.
+3. Suffix arrays. Each task sorts the suffixes of its pieces to depth ``MATCH``
+   by prefix doubling. Of equal neighbours all but the least document's repeat.
+   Suffixes with an anchor that very many documents have (``hot``) travel by
+   a hash of their own bytes instead, each batch's equal ones as one.
 
 All exchanges carry packed arrays. A string found in very many documents is cut
-down to one entry per batch before it is sent, so no task gets a hot one whole.
+down to one entry per batch before it is sent, so no task gets a hot one whole;
+which anchors are hot is a bit map of fixed size.
 Equality is that of bytes, or for whole phrases of a 128-bit digest; the 48-bit
 hashes of anchors only select candidates.
 """
@@ -37,6 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandlake.llm.common import Scratch, table
 from strandlake.llm.minhash import mix64
@@ -45,14 +48,22 @@ from strandlake.llm.tokens import slices
 MATCH = 50
 GRAM = 24
 STRIDE = 128
-#: Bytes of text of a batch.
-BATCH = 4 << 20
+#: Bytes of text of a batch: numpy holds some hundred times as much.
+BATCH = 1 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
-ANCHOR, PHRASE, SUFFIX, DONE = range(4)
+#: Bits of the map of hot anchors. An anchor is hot if more documents have it than
+#: HOT_DOCS or one in HOT_SHARE.
+HOT_BITS = 1 << 20
+HOT_DOCS = 64
+HOT_SHARE = 20_000
+#: Buckets of an exchange per partition: a task works on one at a time.
+SPREAD = 8
+
+ANCHOR, PHRASE, SUFFIX, DONE, HOT = range(5)
 ROUTED = "bucket long, kind int, uid long, doc long, blob binary"
 FLAGGED = "uid long, doc long, kind int, blob binary"
 
@@ -212,12 +223,14 @@ def _parse(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> Itera
             shared = np.repeat(np.diff(np.append(head, len(key))) > 1, np.diff(np.append(head, len(key))))
             for d, keys in _per_doc(own[shared], key[shared]):
                 out.add(int(uid[d]) % buckets, DONE, int(uid[d]), int(doc[d]), bytes([ANCHOR]) + keys.astype("<u8").tobytes())
+            many = np.minimum(np.diff(np.append(head, len(key))), 255).astype(np.uint8)
             key, own = key[head], own[head]
             for b, at in _per_doc((key % np.uint64(buckets)).astype(np.int64), np.arange(len(key))):
                 by = at[np.argsort(own[at], kind="stable")]
                 docs, counts = np.unique(own[by], return_counts=True)
-                low = np.ascontiguousarray(key[by]).view(np.uint8).reshape(-1, 8)[:, :6]
-                out.add(b, ANCHOR, None, None, _pack(uid[docs], doc[docs], counts.astype("<u4"), np.ascontiguousarray(low).reshape(-1)))
+                low = np.ascontiguousarray(key[by]).view(np.uint8).reshape(-1, 8)[:, :7].copy()
+                low[:, 6] = many[by]
+                out.add(b, ANCHOR, None, None, _pack(uid[docs], doc[docs], counts.astype("<u4"), low.reshape(-1)))
             # Phrases: one entry per distinct phrase, at its least document here.
             digest, own = p.digests(), p.phrase_doc
             order = np.lexsort((uid[own], doc[own], digest[:, 1], digest[:, 0]))
@@ -231,34 +244,43 @@ def _parse(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> Itera
             yield from out.batches()
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], out: _Out) -> dict[int, list[bytes]]:
-    held: dict[int, list[bytes]] = {}
+def _gathered(batches: Iterator[pa.RecordBatch], out: _Out) -> dict[int, dict[int, list[bytes]]]:
+    """Blobs by bucket and kind; what is done already goes out."""
+    held: dict[int, dict[int, list[bytes]]] = {}
     for batch in batches:
-        for kind, uid, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "doc", "blob")), strict=True):
+        for bucket, kind, uid, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "uid", "doc", "blob")), strict=True):
             if kind == DONE:
                 out.add(uid, doc, blob[0], blob[1:])
             else:
-                held.setdefault(kind, []).append(blob)
+                held.setdefault(bucket, {}).setdefault(kind, []).append(blob)
     return held
 
 
-def _match_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_keys(batches: Iterator[pa.RecordBatch], hot_docs: int) -> Iterator[pa.RecordBatch]:
     """Flags anchors that several documents have, and phrases that an earlier one has."""
     out = _flagged()
-    held = _gathered(batches, out)
+    buckets = _gathered(batches, out)
     yield from out.batches()
+    while buckets:
+        yield from _match_bucket(buckets.popitem()[1], out, hot_docs)
+
+
+def _match_bucket(held: dict[int, list[bytes]], out: _Out, hot_docs: int) -> Iterator[pa.RecordBatch]:
     if ANCHOR in held:
         parts = [_unpack(b, "<i8", "<i8", "<u4", "u1") for b in held.pop(ANCHOR)]
         counts = [p[2] for p in parts]
         uid, doc = (np.concatenate([np.repeat(p[k], c) for p, c in zip(parts, counts, strict=True)]) for k in (0, 1))
-        low = np.concatenate([p[3] for p in parts]).reshape(-1, 6)
+        low = np.concatenate([p[3] for p in parts]).reshape(-1, 7)
         key = np.zeros((len(low), 8), np.uint8)
-        key[:, :6] = low
+        key[:, :6] = low[:, :6]
         key = key.view("<u8").reshape(-1)
         order = np.argsort(key, kind="stable")
-        key, uid, doc = key[order], uid[order], doc[order]
+        key, uid, doc, many = key[order], uid[order], doc[order], low[order, 6].astype(np.int64)
         head = _heads(key)
         sizes = np.diff(np.append(head, len(key)))
+        hot = key[head][np.add.reduceat(many, head) > hot_docs]
+        for slot in np.unique(hot % np.uint64(HOT_BITS)).tolist():
+            out.add(None, slot, HOT, b"")
         shared = np.repeat(sizes > 1, sizes)
         yield from _flags(out, ANCHOR, uid[shared], doc[shared], key[shared])
     if PHRASE in held:
@@ -297,8 +319,17 @@ def _members(keys: np.ndarray, doc: np.ndarray, flags: list[np.ndarray]) -> np.n
     return hit
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> Iterator[pa.RecordBatch]:
-    """Sorted dictionary suffixes of each batch; spans that are known to repeat."""
+def _send(out: _Out, p: Parsed, uid: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, own: np.ndarray, route: np.ndarray, buckets: int) -> None:
+    """Pieces of text (start, size, document) to the buckets of their routes."""
+    for b, k in _per_doc((route % np.uint64(buckets)).astype(np.int64), np.arange(len(at))):
+        docs, index = np.unique(own[k], return_inverse=True)
+        text = p.buf[np.repeat(at[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())]
+        raw = _pack(text, size[k].astype("<u2"), uid[docs], doc[docs], index.astype("<u4"), (at[k] - p.starts[own[k]]).astype("<u4"))
+        out.add(b, SUFFIX, None, None, zstandard.compress(raw, 1))
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], buckets: int, match: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Dictionary suffixes of each batch that may repeat; spans that are known to."""
     for batch in batches:
         for part in slices([batch], "text", BATCH):
             uid, doc = part.column("uid").to_numpy(), part.column("doc").to_numpy()
@@ -313,27 +344,32 @@ def _suffixes(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> It
             marks = np.zeros(len(p.buf) + 1, np.int32)
             np.add.at(marks, p.phrase_at[repeat], 1)
             np.add.at(marks, p.phrase_end[repeat], -1)
-            phrase = np.searchsorted(p.phrase_at, p.windows, side="right") - 1
+            begins = np.zeros(len(p.buf), np.int32)
+            begins[p.phrase_at] = 1
+            phrase = np.cumsum(begins, dtype=np.int32)[p.windows] - 1
             own = p.doc[p.windows]
-            left = np.flatnonzero(~repeat[phrase])
-            left = left[_members(p.anchor_key[left], own[left], flags[ANCHOR])]
-            at, own = p.windows[left], own[left]
-            if len(at):
-                text = np.lib.stride_tricks.sliding_window_view(p.buf, match)[at]
+            first = np.flatnonzero(np.diff(p.anchor_at, prepend=-1) | np.diff(own, prepend=-1))
+            known = np.repeat(_members(p.anchor_key[first], own[first], flags[ANCHOR]), np.diff(np.append(first, len(own))))
+            left = np.flatnonzero(known & ~repeat[phrase])
+            at, own, key = p.windows[left], own[left], p.anchor_key[left]
+            own_way = hot[(key % np.uint64(HOT_BITS)).astype(np.int64)]
+            if own_way.any():
+                h_at, h_own = at[own_way], own[own_way]
+                text = np.lib.stride_tricks.sliding_window_view(p.buf, match)[h_at]
                 order = _byte_order(text)
-                text, at, own = text[order], at[order], own[order]
-                head = _text_heads(text)
-                least = _least(doc[own], head)
-                again = doc[own] > least
-                np.add.at(marks, at[again], 1)
-                np.add.at(marks, at[again] + match, -1)
-                first = ~again
-                text, at, own = text[first], at[first], own[first]
-                route = (gram_hashes(text.reshape(-1), (match,))[match][::match] % np.uint64(buckets)).astype(np.int64)
-                for b, k in _per_doc(route, np.arange(len(at))):
-                    docs, index = np.unique(own[k], return_inverse=True)
-                    raw = _pack(text[k].reshape(-1), uid[docs], doc[docs], index.astype("<u4"), (at[k] - p.starts[own[k]]).astype("<u4"))
-                    out.add(b, SUFFIX, None, None, zstandard.compress(raw, 1))
+                text, h_at, h_own = text[order], h_at[order], h_own[order]
+                again = doc[h_own] > _least(doc[h_own], _text_heads(text))
+                np.add.at(marks, h_at[again], 1)
+                np.add.at(marks, h_at[again] + match, -1)
+                route = gram_hashes(text[~again].reshape(-1), (match,))[match][::match]
+                _send(out, p, uid, doc, h_at[~again], np.full(np.count_nonzero(~again), match), h_own[~again], route, buckets)
+            at, own, key, anchor = at[~own_way], own[~own_way], key[~own_way], p.anchor_at[left][~own_way]
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) != 1) | (np.diff(anchor) != 0)
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(at))) + match - 1
+                _send(out, p, uid, doc, at[first], size, own[first], key[first], buckets)
             # No span leaves its document, so one sum over the batch will do.
             hit = np.cumsum(marks)[: len(p.buf)] > 0
             for d, (a, b) in enumerate(zip(p.starts.tolist(), p.ends.tolist(), strict=True)):
@@ -363,22 +399,70 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).reshape(-1)
 
 
+def _sorted_with_index(key: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and where each was: by one sort of key and index in a word, if they fit."""
+    bits = max(1, int(len(key)).bit_length())
+    if key_bits + bits > 64:
+        order = np.argsort(key)
+        return key[order], order
+    both = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def suffix_order(buf: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``at`` in order of their first ``match`` bytes, and where a new string begins.
+
+    Prefix doubling: ranks by 5 bytes, then by pairs of ranks 10, 20, ... bytes deep.
+    """
+    wide = np.concatenate([buf, np.zeros(match, np.uint8)]).astype(np.uint64)
+    depth = min(5, match)
+    n = len(wide) - depth + 1
+    key, bits = wide[:n], 8 * depth
+    for k in range(1, depth):
+        key = key << np.uint64(8) | wide[k : n + k]
+    while depth < match:
+        ordered, index = _sorted_with_index(key, bits)
+        new = np.zeros(len(key), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(len(key), np.uint64)
+        rank[index] = np.cumsum(new, dtype=np.uint64)
+        half = max(1, int(rank.max(initial=0)).bit_length())
+        step = min(depth, match - depth)
+        key, bits, depth = rank[:-step] << np.uint64(half) | rank[step:], 2 * half, depth + step
+    ordered, order = _sorted_with_index(key[at], bits)
+    return order, _heads(ordered)
+
+
 def _merge(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
-    """Merges the suffix arrays of all batches; flags suffixes that an earlier document has."""
+    """The suffix array of each bucket; flags suffixes that an earlier document has."""
     out = _flagged()
-    held = _gathered(batches, out)
+    buckets = _gathered(batches, out)
     yield from out.batches()
-    if SUFFIX not in held:
-        return
-    parts = [_unpack(zstandard.decompress(b), "u1", "<i8", "<i8", "<u4", "<u4") for b in held.pop(SUFFIX)]
-    text = np.concatenate([p[0] for p in parts]).reshape(-1, match)
-    uid, doc = (np.concatenate([p[k][p[3]] for p in parts]) for k in (1, 2))
-    at = np.concatenate([p[4] for p in parts])
-    del parts
-    order = _byte_order(text)
-    text, uid, doc, at = text[order], uid[order], doc[order], at[order]
-    again = doc > _least(doc, _text_heads(text))
-    yield from _flags(out, SUFFIX, uid[again], doc[again], at[again].astype("<u4"))
+    while buckets:
+        parts = [_unpack(zstandard.decompress(b), "u1", "<u2", "<i8", "<i8", "<u4", "<u4") for b in buckets.popitem()[1][SUFFIX]]
+        buf = np.concatenate([p[0] for p in parts])
+        size = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        uid, doc = (np.concatenate([p[k][p[4]] for p in parts]) for k in (2, 3))
+        pos = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        del parts
+        n = size - match + 1
+        piece = np.repeat(np.arange(len(size)), n)
+        offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        order, head = suffix_order(buf, (np.cumsum(size) - size)[piece] + offset, match)
+        piece, offset = piece[order], offset[order]
+        mine = doc[piece]
+        again = mine > _least(mine, head)
+        piece, offset = piece[again], offset[again]
+        if len(piece):
+            order = np.lexsort((offset, piece))
+            piece, offset = piece[order], offset[order]
+            new = np.ones(len(piece), bool)
+            new[1:] = (np.diff(piece) != 0) | (np.diff(offset) != 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(piece)) - 1
+            at = pos[piece]
+            spans = np.stack([at[first] + offset[first], at[last] + offset[last] + match], 1).astype("<u4")
+            yield from _flags(out, DONE, uid[piece[first]], doc[piece[first]], spans)
 
 
 def _flags_by_document(flags: DataFrame) -> DataFrame:
@@ -386,8 +470,8 @@ def _flags_by_document(flags: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("__text"))
-    return docs.withColumn("uid", F.xxhash64("doc", "__text"))
+    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), F.col("text").cast("string").alias("__text"))
+    return docs.withColumn("__uid", F.xxhash64("__doc", "__text"))
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -397,32 +481,37 @@ def _partitions(spark: SparkSession) -> int:
 def repeated_spans(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> DataFrame:
     """(uid, doc, flags) of documents that have bytes to remove.
 
-    ``flags`` are packed: pairs of byte offsets (kind DONE) and starts of
-    ``match``-byte repeats (kind SUFFIX); ``spans`` turns them into runs.
+    The blobs of ``flags`` hold pairs of byte offsets; ``removed`` unites them.
     """
-    texts = _keyed(docs).select("uid", "doc", F.col("__text").alias("text"))
+    texts = _keyed(docs).select(F.col("__uid").alias("uid"), F.col("__doc").alias("doc"), F.col("__text").alias("text"))
     n = _partitions(docs.sparkSession)
-    buckets = 4 * n
-    keys = texts.mapInArrow(lambda b: _parse(b, buckets, match), ROUTED).repartition(n, "bucket")
-    flags = scratch.keep(_flags_by_document(keys.mapInArrow(_match_keys, FLAGGED)), "flags")
+    buckets = SPREAD * n
+    hot_docs = max(HOT_DOCS, docs.count() // HOT_SHARE)
+    keys = texts.mapInArrow(lambda b: _parse(b, buckets, match), ROUTED).repartition(n, "bucket").mapInArrow(lambda b: _match_keys(b, hot_docs), FLAGGED)
+    keys = scratch.keep(keys, "keys")
+    hot = np.zeros(HOT_BITS, bool)  # of fixed size, and so is what comes to the driver
+    hot[keys.filter(F.col("kind") == HOT).select("doc").distinct().toArrow()["doc"].to_numpy()] = True
+    flags = scratch.keep(_flags_by_document(keys.filter(F.col("kind") != HOT)), "flags")
+    scratch.drop("keys")
     known = flags.select(F.col("uid").alias("u"), F.col("doc").alias("d"), "flags")
     marked = texts.join(known, (F.col("uid") == F.col("u")) & (F.col("doc") == F.col("d"))).select("uid", "doc", "text", "flags")
-    suffixes = marked.mapInArrow(lambda b: _suffixes(b, buckets, match), ROUTED).repartition(n, "bucket")
+    marked = scratch.keep(marked, "marked")  # else its shuffle would stay beside the next
+    suffixes = marked.mapInArrow(lambda b: _suffixes(b, buckets, match, hot), ROUTED).repartition(n, "bucket")
     spans = scratch.keep(_flags_by_document(suffixes.mapInArrow(lambda b: _merge(b, match), FLAGGED)), "spans")
     scratch.drop("flags")
+    scratch.drop("marked")
     return spans
 
 
-def removed(n_bytes: int, flags: list[dict] | None, match: int) -> np.ndarray:
+def removed(n_bytes: int, flags: list[dict] | None) -> np.ndarray:
     """Runs to remove of a document: starts and ends by turns."""
     if not flags:
         return np.zeros(0, np.int64)
     marks = np.zeros(n_bytes + 1, np.int32)
     for f in flags:
         got = np.frombuffer(f["blob"], "<u4").astype(np.int64)
-        begin, end = (got[::2], got[1::2]) if f["kind"] == DONE else (got, got + match)
-        np.add.at(marks, begin, 1)
-        np.add.at(marks, end, -1)
+        np.add.at(marks, got[::2], 1)
+        np.add.at(marks, got[1::2], -1)
     return _runs(np.cumsum(marks)[:n_bytes] > 0)
 
 
@@ -447,9 +536,8 @@ def kept_bytes(raw: bytes, runs: np.ndarray) -> bytes:
 
 def _with_spans(docs: DataFrame, scratch: Scratch, match: int) -> DataFrame:
     spans = repeated_spans(docs, scratch, match)
-    known = spans.select(F.col("uid").alias("u"), F.col("doc").alias("d"), "flags")
-    docs = _keyed(docs)
-    return docs.join(known, (F.col("uid") == F.col("u")) & (F.col("doc") == F.col("d")), "left")
+    known = spans.select(F.col("uid").alias("__u"), F.col("doc").alias("__d"), F.col("flags").alias("__flags"))
+    return _keyed(docs).join(known, (F.col("__uid") == F.col("__u")) & (F.col("__doc") == F.col("__d")), "left")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> DataFrame:
@@ -465,14 +553,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
         for batch in batches:
             for part in slices([batch], "__text", BATCH):
                 out = []
-                for t, flags in zip(part.column("__text").to_pylist(), part.column("flags").to_pylist(), strict=True):
+                for t, flags in zip(part.column("__text").to_pylist(), part.column("__flags").to_pylist(), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
-                    runs = _whole_characters(raw, removed(len(raw), flags, match))
+                    runs = _whole_characters(raw, removed(len(raw), flags))
                     out.append(kept_bytes(raw, runs).decode("utf-8", "surrogatepass") if len(runs) else t)
                 yield part.select(columns).append_column("__kept", pa.array(out, part.schema.field("__text").type))
 
     found = _with_spans(docs, scratch, match)
-    cut = found.mapInArrow(run, docs.schema.add("__kept", "string"))
+    cut = found.mapInArrow(run, StructType([*docs.schema.fields, StructField("__kept", StringType())]))
     fresh = {"text": F.col("__kept"), "n_chars": F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("__kept"), F.lit(0))).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
     return cut.select(*(fresh[c].alias(c) if fresh.get(c) is not None else F.col(c) for c in columns))
 
@@ -489,15 +577,15 @@ def removal_digest(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
         for batch in batches:
             for part in slices([batch], "text", BATCH):
                 rows = []
-                for t, flags in zip(part.column("text").to_pylist(), part.column("flags").to_pylist(), strict=True):
+                for t, flags in zip(part.column("text").to_pylist(), part.column("__flags").to_pylist(), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
-                    runs = removed(len(raw), flags, match)
+                    runs = removed(len(raw), flags)
                     rows.append((len(raw), int((runs[1::2] - runs[::2]).sum()), len(runs) // 2, hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch, match)
-    return found.select("doc_id", F.col("__text").alias("text"), "flags").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", F.col("__text").alias("text"), "__flags").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
