@@ -68,3 +68,48 @@ def quality_checked(rows: DataFrame, passed: DataFrame) -> DataFrame:
 def buckets(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Rows dealt in order to buckets of ``size``, per ``part``."""
     return rows.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1) / size))
+
+
+def _candidates(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """Pairs (w, name) among which are all within ``most`` edits.
+
+    Of ``most`` + 1 segments of a name one stands unchanged in such a word, shifted by
+    at most ``most``. With more than two edits segments get short, and names of nearly
+    the word's length are taken.
+    """
+    near = F.explode(F.sequence(F.greatest(F.length("w") - most, F.lit(0)), F.length("w") + most))
+    words, names = words.select("w", near.alias("size")), names.select("name", F.length("name").alias("size"))
+    if most > 2:
+        return words.join(names, "size")
+    start = lambda i: F.floor(F.col("size") * i / (most + 1)).cast("int")
+    segment = lambda text, i, by: F.struct(F.lit(i).alias("i"), F.substring(text, start(i) + 1 + by, start(i + 1) - start(i)).alias("part"))
+    words = words.withColumn("key", F.explode(F.array_distinct(F.array(*(segment("w", i, by) for i in range(most + 1) for by in range(-most, most + 1))))))
+    names = names.withColumn("key", F.explode(F.array(*(segment("name", i, 0) for i in range(most + 1)))))
+    return words.join(names, ["size", "key"]).select("w", "name").distinct()
+
+
+def nearest(words: DataFrame, names: DataFrame) -> DataFrame:
+    """w, nearest, distance: for each word (w) the name at the least edit distance, ties by order of names.
+
+    The cutoff doubles until every word has a name within it. A pair goes to the full
+    distance when the letters that the name lacks are no more than the cutoff.
+    """
+    if words.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        words.sparkSession.sparkContext.setCheckpointDir("strandlake-checkpoints")
+    words, names = words.filter("w IS NOT NULL").distinct().checkpoint(), names.filter("name IS NOT NULL").distinct().checkpoint()
+    longest = lambda rows, c: rows.agg(F.max(F.length(c))).first()[0]
+    some, full = longest(names, "name") is not None, max(longest(words, "w") or 0, longest(names, "name") or 0)
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    found, most = [], 1
+    while True:
+        pairs = _candidates(words, names, most).filter(F.size(F.array_except(letters("w"), letters("name"))) <= most)
+        pairs = pairs.withColumn("d", F.levenshtein("w", "name", most)).filter("d >= 0")
+        found.append(pairs.groupBy("w").agg(F.min(F.struct("d", "name")).alias("m")).select("w", F.col("m.name").alias("nearest"), F.col("m.d").alias("distance")).checkpoint())
+        words = words.join(found[-1], "w", "left_anti").checkpoint()
+        if not some or most >= full or words.isEmpty():
+            break
+        most *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

@@ -162,6 +162,12 @@ def nearest_names(spark, sf):
     return pairs.groupBy("w").agg(F.min(F.struct("d", "p_name")).alias("m")).select("w", F.col("m.p_name").alias("nearest"), F.col("m.d").alias("distance"))
 
 
+@query("nearest_names_all", "WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL) SELECT w, p AS nearest, CAST(dist AS INT) AS distance FROM (SELECT 'x' || y.p_name AS w, x.p_name AS p, levenshtein('x' || y.p_name, x.p_name) AS dist FROM n x, n y) QUALIFY row_number() OVER (PARTITION BY w ORDER BY dist, p) = 1")
+def nearest_names_all(spark, sf):
+    names = d.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    return tables.nearest(names.select(F.concat(F.lit("x"), "name").alias("w")), names)
+
+
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     return windowed(d.table(spark, sf, "events")).withColumn("total", F.round("total", 4))
