@@ -29,19 +29,20 @@ def consensus(columns: DataFrame, threshold: float = 0.0) -> DataFrame:
     return total.join(best, "pos", "left").select("pos", F.when(F.coalesce(F.col("n"), F.lit(0)) * 100 >= threshold * F.col("rows"), F.coalesce("base", F.lit("?"))).otherwise("?").alias("base"))
 
 
-def consensus_iupac(columns: DataFrame) -> DataFrame:
-    return columns.groupBy("pos").agg(seqfn.iupac_code(F.collect_set(F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base")))).alias("code"))
+def consensus_iupac(columns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per column, and per alignment where ``by`` tells several apart, the code of its bases."""
+    return columns.groupBy(*by, "pos").agg(seqfn.iupac_code(F.collect_set(F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base")))).alias("code"))
 
 
-def match_line(columns: DataFrame) -> DataFrame:
+def match_line(columns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """* where all letters of a column are one and no gap, a blank elsewhere."""
-    return columns.groupBy("pos").agg(F.when((F.count_distinct("base") == 1) & (F.max("base") != "-"), "*").otherwise(" ").alias("mark"))
+    return columns.groupBy(*by, "pos").agg(F.when((F.count_distinct("base") == 1) & (F.max("base") != "-"), "*").otherwise(" ").alias("mark"))
 
 
-def gap_lines(columns: DataFrame) -> DataFrame:
+def gap_lines(columns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per column: whether any letter is a gap, and whether all are."""
     gap = F.col("base") == "-"
-    return columns.groupBy("pos").agg(F.bool_or(gap).alias("any_gap"), F.bool_and(gap).alias("all_gap"))
+    return columns.groupBy(*by, "pos").agg(F.bool_or(gap).alias("any_gap"), F.bool_and(gap).alias("all_gap"))
 
 
 def covered_columns(columns: DataFrame, share: float) -> DataFrame:
@@ -63,10 +64,10 @@ def overall_identity(columns: DataFrame) -> DataFrame:
     return match_line(columns).agg((100 * F.count_if(F.col("mark") == "*") / F.count(F.lit(1))).alias("identity"))
 
 
-def bracket_string(columns: DataFrame) -> DataFrame:
+def bracket_string(columns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per column its letter, or all its letters as [A/G]."""
     letters = F.array_sort(F.collect_set("base"))
-    return columns.groupBy("pos").agg(letters.alias("b")).select("pos", F.when(F.size("b") == 1, F.get("b", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("b", "/"), F.lit("]"))).alias("text"))
+    return columns.groupBy(*by, "pos").agg(letters.alias("b")).select(*by, "pos", F.when(F.size("b") == 1, F.get("b", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("b", "/"), F.lit("]"))).alias("text"))
 
 
 def residue_columns(columns: DataFrame) -> DataFrame:

@@ -40,12 +40,23 @@ def consensus_iupac(spark, sf):
     return alignment.consensus_iupac(_gcols(spark, sf).filter("grp = 3"))
 
 
+@query("consensus_iupac_all", f"SELECT grp, pos, {_IUPAC} AS code FROM (SELECT grp, pos, coalesce(string_agg(DISTINCT base, '' ORDER BY base) FILTER (base IN ('A','C','G','T')), '') AS b FROM {GCOLS} GROUP BY grp, pos)")
+def consensus_iupac_all(spark, sf):
+    return alignment.consensus_iupac(_gcols(spark, sf), ("grp",))
+
+
 @query("match_and_gap_lines", f"SELECT pos, CASE WHEN count(DISTINCT base) = 1 AND max(base) <> '-' THEN '*' ELSE ' ' END AS mark, bool_or(base = '-') AS any_gap, bool_and(base = '-') AS all_gap FROM {GCOLS} WHERE grp = 5 GROUP BY pos")
 def match_and_gap_lines(spark, sf):
     c = _gcols(spark, sf).filter("grp = 5")
     return alignment.match_line(c).join(alignment.gap_lines(c), "pos")
 
 
+@query("match_and_gap_lines_all", f"SELECT grp, pos, CASE WHEN count(DISTINCT base) = 1 AND max(base) <> '-' THEN '*' ELSE ' ' END AS mark, bool_or(base = '-') AS any_gap, bool_and(base = '-') AS all_gap FROM {GCOLS} GROUP BY grp, pos")
+def match_and_gap_lines_all(spark, sf):
+    c = _gcols(spark, sf)
+    return alignment.match_line(c, ("grp",)).join(alignment.gap_lines(c, ("grp",)), ["grp", "pos"])
+
+
 @query("covered_columns", f"WITH c AS {GCOLS}, k AS (SELECT pos FROM c GROUP BY pos HAVING count(*) FILTER (base <> '-') >= floor((SELECT count(DISTINCT id) FROM c) * 0.9)) SELECT id, string_agg(base, '' ORDER BY pos) AS seq FROM c WHERE pos IN (SELECT pos FROM k) GROUP BY id")
 def covered_columns(spark, sf):
     return alignment.wide_form(alignment.covered_columns(_gcols(spark, sf).select("id", "pos", "base"), 0.9))
@@ -64,6 +75,11 @@ def bracket_string(spark, sf):
     return alignment.bracket_string(_gcols(spark, sf).filter("grp = 7"))
 
 
+@query("bracket_string_all", f"SELECT grp, pos, CASE WHEN count(DISTINCT base) = 1 THEN min(base) ELSE '[' || string_agg(DISTINCT base, '/' ORDER BY base) || ']' END AS text FROM {GCOLS} GROUP BY grp, pos")
+def bracket_string_all(spark, sf):
+    return alignment.bracket_string(_gcols(spark, sf), ("grp",))
+
+
 @query("residue_columns", f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) AS INT) AS residue, pos FROM {GCOLS} WHERE base <> '-'")
 def residue_columns(spark, sf):
     return alignment.residue_columns(_gcols(spark, sf))

@@ -40,3 +40,18 @@ def test_nearest_at_any_distance(spark, letters):
     assert len(found) == len(words)
     assert {r.w: (r.distance, r.nearest) for r in found} == plain_nearest(words, names)
     assert tables.nearest(frame(words, "w"), frame([], "name")).count() == 0
+
+
+def test_every_group_is_aligned(spark, sf_dir):
+    from strandlake.plans import derived
+
+    column = {}
+    for r in derived.columns(derived.gapped(spark, sf_dir, "supplier")).collect():
+        column.setdefault((r.grp, r.pos), set()).add(r.base)
+    assert len({g for g, _ in column}) > 1
+    codes = {"".join(sorted(b)): c for c, b in {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT"}.items()}
+    run = lambda name: {(r.grp, r.pos): r for r in registry.queries()[name](spark, sf_dir).collect()}
+    assert {k: r.code for k, r in run("consensus_iupac_all").items()} == {k: codes.get("".join(sorted(b & set("ACGT"))), "N") for k, b in column.items()}
+    lines = {k: (r.mark, r.any_gap, r.all_gap) for k, r in run("match_and_gap_lines_all").items()}
+    assert lines == {k: ("*" if len(b) == 1 and b != {"-"} else " ", "-" in b, b == {"-"}) for k, b in column.items()}
+    assert {k: r.text for k, r in run("bracket_string_all").items()} == {k: min(b) if len(b) == 1 else f"[{'/'.join(sorted(b))}]" for k, b in column.items()}
