@@ -71,7 +71,7 @@ def signature(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     np.cumsum(spread * up[:n], out=total[1:])
     block = MIN_BLOCK
     ends = np.flatnonzero(rolling & np.uint64(block - 1) == np.uint64(block - 1))
-    while len(ends) > LENGTH:
+    while len(ends) + (len(ends) > 0 and ends[-1] != n - 1) > LENGTH:  # letters: one a cut, and one after the last
         block *= 2
         ends = ends[rolling[ends] & np.uint64(block - 1) == np.uint64(block - 1)]
     twice = ends[rolling[ends] & np.uint64(2 * block - 1) == np.uint64(2 * block - 1)]
@@ -93,6 +93,8 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Levenshtein distances of pairs of at most 64 (a) letters, side by side, bit-parallel."""
     n = len(a)
     size = np.array([len(x) for x in a], np.int64)
+    if n and size.max() > 64:
+        raise ValueError("a word holds 64 letters")
     other = np.array([len(x) for x in b], np.int64)
     masks = np.zeros((n, 128), np.uint64)
     for k, x in enumerate(a):

@@ -177,6 +177,21 @@ def test_edit_distances():
     assert fingerprint.edit_distances(letters(0), letters(1)).tolist() == [plain_distance(*p) for p in pairs]
 
 
+def test_signatures_fit_a_word():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(100, 1500))) for _ in range(1500)]
+    signs = [fingerprint.signature(t) for t in texts]
+    assert max(len(x) for s in signs for x in s[1:]) == fingerprint.LENGTH
+    assert not fingerprint.edit_distances([s[1] for s in signs], [s[1] for s in signs]).any()
+    with pytest.raises(ValueError):
+        fingerprint.edit_distances([np.zeros(65, np.uint8)], [np.zeros(65, np.uint8)])
+    full = [s for s in signs if len(s[1]) >= 63]
+    pairs = [(a, b) for a, b in zip(full, full[1:], strict=False)]
+    plain = lambda x, y: 1 - plain_distance(x.tolist(), y.tolist()) / max(len(x), len(y), 1)
+    want = [max([plain(x, y) for i, x in enumerate(a[1:]) for j, y in enumerate(b[1:]) if a[0] << i == b[0] << j], default=0) for a, b in pairs]
+    assert pairs and fingerprint.likeness(pairs).tolist() == pytest.approx(want)
+
+
 def test_fingerprints(spark, corpus):
     ids = [(13 * i) % 1009 for i in range(len(corpus))]
     found = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, corpus, ids), Scratch(spark, "t")).collect()}
