@@ -7,6 +7,11 @@ mass is moved from one to the other, by a random choice that keeps each
 probability's mean and the pair's words, until one of them is 0 or 1. So a
 source's words stay what they were up to the last open document.
 
+A document that holds over 1 / ``LONG`` of its source's words would leave more
+open than the rest can take up. Such documents, fewer than ``LONG`` a source,
+are rounded first, the longest ahead, and what each gains or loses is shared
+among all words of the source that are not rounded yet.
+
 Documents are dealt to buckets by a hash of their key; a bucket leaves at most
 one open document per source, and the open ones climb a reduction tree, ``FAN``
 buckets to one on each level, until one per source is left, which is rounded on
@@ -31,6 +36,8 @@ MOST = 2.0
 #: Rows of a bucket, about, and buckets merged into one on each level of the tree.
 BUCKET_ROWS = 20_000
 FAN = 32
+#: Documents of more than this part of their source are rounded before the others.
+LONG = 1000
 SEED = 20
 
 STATE = "key long, doc_id long, source string, size long, source_size long, target double, base long, p double, done boolean, bucket long"
@@ -105,6 +112,25 @@ def _pivot(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(p=p, done=done)
 
 
+LONG_ROW = "key long, doc_id long, source string, size long, source_size long, target double, copies long, rate double"
+
+
+def _long_first(rows: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Copies of a source's long documents, and the copies per word (rate) left for its others.
+
+    Means stay while the rate is between 0 and ``most``; what is beyond that is missed.
+    """
+    rows = rows.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+    wanted, left, copies = float(rows.target[0]), int(rows.source_size[0]), []
+    for i, (key, size) in enumerate(zip(rows["key"].tolist(), rows["size"].tolist(), strict=True)):
+        rate = min(max(wanted / left, 0.0), most)
+        base = int(rate + 1e-12)
+        p = rate - base
+        copies.append(base + int(p >= 1e-9 and draw(key, size, i) < p))
+        wanted, left = wanted - copies[-1] * size, left - size
+    return rows.assign(copies=copies, rate=min(max(wanted / left, 0.0), most) if left else 0.0)
+
+
 def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for rows (key, doc_id, source, size).
 
@@ -116,9 +142,15 @@ def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
     targets = scratch.keep(source_targets(sizes, weights, share, most), "targets")
     buckets = max(1, -(-n // BUCKET_ROWS))
     per = targets.withColumnRenamed("source", "name")
-    rate = F.col("target") / F.col("source_size")
+    sized = sizes.join(per, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    is_long = F.col("size") * LONG > F.col("source_size")
+    first = sized.filter(is_long).groupBy("source").applyInPandas(lambda rows: _long_first(rows, most), LONG_ROW)
+    first = scratch.keep(first, "long")
+    rates = first.groupBy(F.col("source").alias("name")).agg(F.max("rate").alias("rate"))
+    rate = F.coalesce(F.col("rate"), F.col("target") / F.col("source_size"))
     rows = (
-        sizes.join(per, F.col("source").eqNullSafe(F.col("name")))
+        sized.filter(~is_long)
+        .join(rates, F.col("source").eqNullSafe(F.col("name")), "left")
         .withColumn("base", F.when(F.col("size") > 0, F.floor(rate + 1e-12)).otherwise(0).cast("long"))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(rate - F.col("base"), F.lit(0.0))).otherwise(0.0))
         .withColumn("done", F.col("p") < 1e-9)
@@ -137,7 +169,8 @@ def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
     whole = out[0]
     for more in [*out[1:], last]:
         whole = whole.unionByName(more)
-    return whole.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+    whole = whole.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+    return whole.unionByName(first.select(whole.columns))
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:

@@ -240,6 +240,34 @@ def test_mixing_totals(spark):
     assert mixing.mix(mixing.document_sizes(docs.limit(0)), Scratch(spark, "t")).count() == 0
 
 
+def giants(k):
+    """Sizes of a source whose other documents can take up what the giant gains or loses, and of its neighbour."""
+    return [("a", 40_000)] + [("a", 100)] * 1000 + [("b", 100)] * 400 + [("c", 7 + k)] * 200
+
+
+def test_giant_documents_leave_no_miss(spark):
+    for k in range(3):
+        rows = [(1000 * k + i, 1000 * k + i, s, n) for i, (s, n) in enumerate(giants(k))]
+        docs = spark.createDataFrame(rows, "key long, doc_id long, source string, size long")
+        found = mixing.mix(docs, Scratch(spark, "t"), share=0.7).collect()
+        assert len(found) == len(rows) and all(0 <= r.copies <= 2 for r in found)
+        for s in "abc":
+            mine = [r for r in found if r.source == s]
+            assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 200, (k, s)
+
+
+def test_long_documents_keep_their_mean():
+    import pandas as pd
+
+    taken, words = [], []
+    for k in range(400):
+        rows = pd.DataFrame({"key": [k], "doc_id": [k], "source": ["a"], "size": [30_000], "source_size": [130_000], "target": [0.4 * 130_000]})
+        r = mixing._long_first(rows, 2.0).iloc[0]
+        taken.append(r.copies)
+        words.append(r.copies * 30_000 + r.rate * 100_000)
+    assert abs(sum(taken) / 400 - 0.4) < 0.1 and max(abs(w - 52_000) for w in words) < 1e-6
+
+
 def test_moves_keep_words_and_means():
     rng = random.Random(1)
     p, a, q, b = 0.3, 7, 0.6, 4
