@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session, and only where that is unset (tests) a temporary one."""
+    the session, and only where that is unset in local mode (tests) a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or f"file://{tempfile.gettempdir()}/strandlake-scratch"
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """From now on Arrow batches to Python hold at most so many bytes, or one row,
+    if the session's bound is larger: 10,000 long texts are no small batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(name)) or 0) <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 class Scratch:
     """Intermediate tables and files of one call, in the shared folder.
 
@@ -38,6 +49,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.held: dict[str, str] = {}
+        small_batches(spark)
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids as files of canonical, length-limited Huffman codes.
 
 Code lengths come from the global counts of all ids by the package-merge
-algorithm, at most ``MAX_BITS`` bits; codes are canonical, so a file carries
+algorithm, at most ``longest`` bits; codes are canonical, so a file carries
 only the lengths. Documents are range-partitioned by id, sorted, and written as
 independent blocks: a block holds the ids of its documents as one bit stream and
 the bit offset of every ``STRIDE``-th id, from which a reader decodes all
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import Scratch, table
 from strandlake.llm.tokens import END_ID, default_tokenizer, encoder, slices
 
+#: Longest code, for up to 32,768 used ids; with more, one bit more than their number has.
 MAX_BITS = 16
 STRIDE = 128
 #: Ids gathered before a block is written; a block never splits a document.
@@ -41,9 +42,15 @@ FOOTER = struct.Struct("<QII6s")  # directory offset, blocks, codebook checksum,
 HEAD = struct.Struct("<IQQI")  # documents, ids, bits, stride
 
 
-def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+def longest(used: int) -> int:
+    """The limit on the code lengths of so many ids."""
+    return max(MAX_BITS, used.bit_length() + 1)
+
+
+def code_lengths(counts: np.ndarray, max_bits: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most ``max_bits`` for every id with a count (package-merge)."""
     used = np.flatnonzero(counts)
+    max_bits = max_bits or longest(len(used))
     lengths = np.zeros(len(counts), np.uint8)
     n = len(used)
     if n <= 2:
@@ -76,14 +83,15 @@ class Codebook:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.uint8)
         self.codes = np.zeros(len(lengths), np.uint32)
-        self.symbols = np.zeros(1 << MAX_BITS, np.uint32)
-        self.widths = np.zeros(1 << MAX_BITS, np.uint8)
+        self.bits = bits = max(MAX_BITS, int(lengths.max(initial=0)))
+        self.symbols = np.zeros(1 << bits, np.uint32)
+        self.widths = np.zeros(1 << bits, np.uint8)
         used = np.flatnonzero(lengths)
         order = used[np.lexsort((used, lengths[used]))]
         width = lengths[order].astype(np.int64)
-        span = np.int64(1) << (MAX_BITS - width)
+        span = np.int64(1) << (bits - width)
         starts = np.cumsum(span) - span
-        self.codes[order] = starts >> (MAX_BITS - width)
+        self.codes[order] = starts >> (bits - width)
         self.symbols[: span.sum()] = np.repeat(order, span)
         self.widths[: span.sum()] = np.repeat(width, span)
         self.checksum = zlib.crc32(self.lengths)
@@ -108,15 +116,16 @@ class Codebook:
 
     def decode(self, stream: bytes, offsets: np.ndarray, n: int, stride: int) -> np.ndarray:
         """All strides step by step, one look-up per id."""
-        raw = np.frombuffer(stream + bytes(4), np.uint8).astype(np.uint32)
+        raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
+        raw = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # 32 bits from each byte on
+        drop = np.uint32(32 - self.bits)
         at = offsets.astype(np.int64)
         out = np.zeros((len(at), stride), np.uint32)
         last = n - stride * (len(at) - 1) if len(at) else 0
         for k in range(min(stride, n)):
             if k == last:
                 at = at[:-1]
-            byte = at >> 3
-            peek = (((raw[byte] << 16) | (raw[byte + 1] << 8) | raw[byte + 2]) >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+            peek = (raw[at >> 3] << (at & 7).astype(np.uint32)) >> drop
             out[: len(at), k] = self.symbols[peek]
             at = at + self.widths[peek]
         return out.reshape(-1)[:n]
@@ -152,13 +161,21 @@ def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch in slices(batches, "text"):
-            ids = enc.encode(batch.column("text").to_pylist(), end_id)
-            raw = pa.array([one.astype("<u2").tobytes() if not len(one) or one.max() < 1 << 16 else b"\0" + one.tobytes() for one in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw], names=["doc_id", "ids"])
+            ids, ends = enc.encode_array(batch.column("text"), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _packed(ids, ends)], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def _packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each text's ids as ``_ids`` reads them."""
+    if not len(ids) or ids.max() < 1 << 16:
+        offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+    each = np.split(ids, ends[:-1])
+    return pa.array([one.astype("<u2").tobytes() if not len(one) or one.max() < 1 << 16 else b"\0" + one.tobytes() for one in each], pa.binary())
+
+
 def _ids(raw: bytes) -> np.ndarray:
     """Two bytes an id, or after a zero byte (an odd length) four."""
     return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype(np.uint32)
@@ -239,7 +256,9 @@ def write_token_files(docs: DataFrame, out_dir: str, scratch: Scratch, tokenizer
     def run(batches):
         return _write_part(batches, lengths, out_dir)
 
-    placed = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # Rows that share a doc_id, or have none, are parted by how their ids begin.
+    order = F.col("doc_id").asc_nulls_first()
+    placed = tokens.repartitionByRange(parts, order, F.substring("ids", 1, 16)).sortWithinPartitions(order, "ids")
     manifest = scratch.keep(placed.mapInArrow(run, "part long, path string, n_docs long, n_ids long, n_bytes long"), "manifest")
     scratch.drop("tokens")
     return manifest

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm.common import table
+from strandlake.llm.common import small_batches, table
 from strandlake.llm.tokens import END_ID, default_tokenizer, encoder, slices
 
 CAPACITY = 2048
@@ -139,15 +139,18 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     sequence_id is unique, not consecutive over tasks.
     """
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
         for batch in slices(batches, "text"):
-            ids = enc.encode(batch.column("text").to_pylist(), end_id)
-            for doc_id, one in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                for rows in packer.add(doc_id, one):
+            ids, ends = enc.encode_array(batch.column("text"), end_id)
+            first = 0
+            for doc_id, last in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                for rows in packer.add(doc_id, ids[first:last]):
                     yield _batch(rows)
+                first = last
         yield _batch(packer.flush() if packer.held else [])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import small_batches, table
 from strandlake.llm.tokens import slices
 
 DIMS = 1 << 18
@@ -189,6 +189,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", verdict: str = "pr
     """The documents with the score (double, 0 to 1) and the verdict (int) under the given
     names, in place of columns so named; all other columns as they are."""
     weights, bias = model.weights, model.bias
+    small_batches(docs.sparkSession)
     docs = docs.drop(name, verdict).withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
