@@ -16,12 +16,14 @@
    with further hubs from its largest, ``ROUNDS`` times over.
 6. What is apart then is compared in full: in every bucket that holds several
    components, each class outside the largest one with every class of another
-   component, unless one of two exact bounds rules the pair out. Jaccard distance
+   component, unless one of three exact bounds rules the pair out. Jaccard distance
    is a metric, so classes whose distances to the bucket's first hub differ by
-   more than the distance allowed cannot be near. And no more of a class can be
+   more than the distance allowed cannot be near. No more of a class can be
    shared with another than the elements that any other class of these buckets
-   has. So no candidate pair is lost, and pairs are only listed where their
-   outcome can matter.
+   has. And the elements that only one of two sets has are at least as many as the
+   places where their parity maps differ (``PARITY`` places, each the parity of the
+   number of elements that hash to it). So no candidate pair is lost, and pairs
+   are only listed where their outcome can matter.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ HASHES = BANDS * ROWS
 PERCENT = 80
 #: Further hubs that are tried before the full comparison.
 ROUNDS = 1
+#: Places of a set's parity map, a multiple of 64.
+PARITY = 1024
 #: Elements whose draws are made side by side.
 ELEMENTS = 1 << 15
 
@@ -170,12 +174,22 @@ def _groups(sizes: list[int], most: int) -> Iterator[range]:
         yield range(first, len(sizes))
 
 
+PARITY_NAMES = [f"p{k}" for k in range(PARITY // 64)]
+
+
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Per place of the map, whether an odd number of elements hash there; 64 places a number."""
+    odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(shingle_words)
     for batch in batches:
         for part in slices([batch], "text", 1 << 20):
-            sets = [shingler(t).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "elements"])
+            sets = [shingler(t) for t in part.column("text").to_pylist()]
+            maps = np.stack([parity(s) for s in sets]).T
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, maps)], names=["id", "elements", *PARITY_NAMES])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +235,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, p
     close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     pair = (F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
     texts = docs.join(buckets.select("id").distinct(), F.col("doc_id") == F.col("id")).select("doc_id", "text")
-    sets = scratch.keep(texts.mapInArrow(lambda b: _sets(b, shingle_words), "id long, elements binary"), "sets")
+    sets = scratch.keep(texts.mapInArrow(lambda b: _sets(b, shingle_words), "id long, elements binary, " + ", ".join(f"{p} long" for p in PARITY_NAMES)), "sets")
     known = scratch.keep(_compare(buckets.filter("id <> hub").select(*pair).distinct(), sets, percent), "known")
     links = known.filter("linked").select("u", "v")
     groups = scratch.keep(components(links, scratch, "first"), "groups")
@@ -239,7 +253,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, p
         groups = scratch.keep(groups.join(now.select("node"), "node", "left_anti").unionByName(now), f"groups{k}")
     split = scratch.keep(_split(buckets, groups), "split")
     shared = scratch.keep(_shared(split, sets), "shared")
-    rest = scratch.keep(_apart(split, shared, known, close, percent), "rest")
+    maps = sets.select(F.col("id").alias("m"), *PARITY_NAMES)
+    rest = scratch.keep(_apart(split, shared, known, maps, close, percent), "rest")
     more = scratch.keep(_compare(rest, sets, percent).filter("linked").select("u", "v"), "more")
     groups = scratch.keep(components(links.union(more), scratch, "last"), "closed")
     for name in ("known", "sets", "buckets"):
@@ -275,15 +290,18 @@ def _shared(split: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(common, F.col("element") == F.col("e"), "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
 
 
-def _apart(split: DataFrame, shared: DataFrame, known: DataFrame, close, percent: int) -> DataFrame:
+def _apart(split: DataFrame, shared: DataFrame, known: DataFrame, maps: DataFrame, close, percent: int) -> DataFrame:
     """Candidate pairs whose classes are in different components yet and may be near."""
     near = (F.col("u") == F.least("id", "hub")) & (F.col("v") == F.greatest("id", "hub"))
     split = split.join(known.select("u", "v", "distance"), near, "left").join(shared.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
     split = split.select("key", "id", "n", "component", "top", F.coalesce("s", F.lit(0)).alias("s"), F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("d"))
     # A class that shares too little for even its own size is near none.
     split = split.filter((100 + percent) * F.col("s") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
-    few = split.filter("component <> top").select(F.col("key").alias("k"), F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), F.col("s").alias("a_s"), F.col("d").alias("a_d"))
+    split = split.join(maps, F.col("id") == F.col("m")).drop("m")
+    few = split.filter("component <> top").select(*(F.col(p).alias(f"a_{p}") for p in PARITY_NAMES), F.col("key").alias("k"), F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), F.col("s").alias("a_s"), F.col("d").alias("a_d"))
     may = close(F.col("n"), F.col("a_n")) & (F.abs(F.col("d") - F.col("a_d")) <= 1 - percent / 100 + 1e-9) & ((100 + percent) * F.least("s", "a_s") >= percent * (F.col("n") + F.col("a_n")))
+    unlike = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"a_{p}"))) for p in PARITY_NAMES), F.lit(0))
+    may = may & ((100 + percent) * unlike <= (100 - percent) * (F.col("n") + F.col("a_n")))
     pairs = split.join(few, (F.col("key") == F.col("k")) & (F.col("component") != F.col("a_component")) & may)
     pairs = pairs.select(F.least("id", "a").alias("u"), F.greatest("id", "a").alias("v")).distinct()
     return pairs.join(known, ["u", "v"], "left_anti")
