@@ -24,16 +24,46 @@ def _acgt(x: Column) -> Column:
     return x.isin("A", "C", "G", "T")
 
 
-def _transition(a: Column, b: Column) -> Column:
-    return F.concat(a, b).isin("AG", "GA", "CT", "TC")
+def planes(seq: Column) -> Column:
+    """The sequence as bit planes, an array with one struct of longs for every 64 positions.
+
+    ``v`` marks A, C, G and T; ``x`` parts purines from pyrimidines, ``y`` the two of
+    either kind. To be made once per sequence, before pairs are.
+    """
+    bits = lambda text, ones: F.conv(F.rpad(F.translate(text, "ACGT.", ones), 64, "0"), 2, -10).cast("long")
+    # The blocks come from one walk over the text: cutting each off by its place would take the square of the length.
+    blocks = F.regexp_extract_all(F.regexp_replace(seq, "[^ACGT]", "."), F.lit(".{1,64}"), F.lit(0))
+    return F.transform(blocks, lambda s: F.struct(bits(s, "11110").alias("v"), bits(s, "01010").alias("x"), bits(s, "00110").alias("y")))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plane_counts(planes1: Column, planes2: Column) -> Column:
+    """Struct of bases compared, transitions, transversions: three population counts for 64 positions."""
+    both = F.slice(F.arrays_zip(planes1.alias("a"), planes2.alias("b")), 1, F.least(F.size(planes1), F.size(planes2)))
+
+    def block(s: Column, pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        valid, odd = a["v"].bitwiseAND(b["v"]), a["x"].bitwiseXOR(b["x"])
+        add = lambda name, bits: (s[name] + F.bit_count(bits)).alias(name)
+        same_kind = a["y"].bitwiseXOR(b["y"]).bitwiseAND(F.bitwise_not(odd)).bitwiseAND(valid)
+        return F.struct(add("n", valid), add("ts", same_kind), add("tv", odd.bitwiseAND(valid)))
+
+    none = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("n", "ts", "tv")))
+    return F.aggregate(both, none, block)
 
 
 def counts(seq1: Column, seq2: Column) -> Column:
-    """Struct of bases compared, transitions, transversions, by one walk over both."""
-    both = F.zip_with(characters(seq1), characters(seq2), lambda a, b: F.coalesce(F.when(_acgt(a) & _acgt(b), F.when(a == b, 1).when(_transition(a, b), 2).otherwise(3)).otherwise(0), F.lit(0)))
-    tally = lambda x, kind: F.size(F.filter(x, lambda k: k == kind)).cast("long")
-    made = F.transform(F.array(both), lambda x: F.struct(F.size(F.filter(x, lambda k: k > 0)).cast("long").alias("n"), tally(x, 2).alias("ts"), tally(x, 3).alias("tv")))
-    return F.get(made, F.lit(0))
+    """Struct of bases compared, transitions, transversions of two sequences."""
+    return plane_counts(planes(seq1), planes(seq2))
+
+
+def measured(planes1: Column, planes2: Column) -> Column:
+    """Struct of n, ts, tv and k2p, each computed once however often it is read."""
+    return _let(plane_counts(planes1, planes2), lambda c: F.struct(c["n"].alias("n"), c["ts"].alias("ts"), c["tv"].alias("tv"), k2p(c["n"], c["ts"], c["tv"]).alias("k2p")))
 
 
 def k2p(n: Column, ts: Column, tv: Column, empty: float = SATURATED, saturated: float = SATURATED) -> Column:

@@ -68,9 +68,7 @@ def reverse_complement(seq: Column, full: bool = False) -> Column:
 
 def codons(seq: Column, frame: int = 1) -> Column:
     """Triplets from a frame (1 to 3) on, with a shorter last one."""
-    rest = F.substring(seq, frame, 1 << 30)
-    n = F.length(rest)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n, F.lit(3)), lambda i: F.substring(rest, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(seq, frame, 1 << 30), F.lit("(?s).{1,3}"), F.lit(0))
 
 
 def translate(seq: Column, frame: int = 1, code: str = STANDARD_CODE) -> Column:
@@ -117,11 +115,36 @@ def splice(seq: Column, start, end) -> Column:
     return F.substring(seq, start, end - start + 1)
 
 
+#: Characters of a piece that windows are cut from, at least.
+PIECE = 256
+
+
 def windows(seq: Column, size: int, step: int) -> Column:
-    """Array of (start, text) of full windows."""
-    last = F.length(seq) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(seq, i, F.lit(size)).alias("text")))
+    """Array of (start, text) of full windows, in time that follows the text's length.
+
+    A window is cut from a short piece of the text, with what follows of the next
+    piece: a cut by place counts characters from the beginning.
+    """
+    piece = max(PIECE, size)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def of_text(text: Column) -> Column:
+        last = F.length(text) - size + 1
+
+        def of_piece(pieces: Column):
+            def cut(p: Column, k: Column) -> Column:
+                # Starts of a piece: from the first multiple of the step in it, up to its end or the last full window.
+                first = F.pmod(-(k * piece), F.lit(step)) + 1
+                most = F.least(F.length(p), last - k * piece)
+                starts = F.when(most >= first, F.sequence(first, most, F.lit(step))).otherwise(F.array().cast("array<int>"))
+                longer = F.concat(p, F.coalesce(F.substring(F.get(pieces, k + 1), 1, size - 1), F.lit("")))
+                return let(longer, lambda q: F.transform(starts, lambda i: F.struct((k * piece + i).alias("start"), F.substring(q, i, F.lit(size)).alias("text"))))
+
+            return F.flatten(F.transform(pieces, cut))
+
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), of_piece)
+
+    return let(seq, of_text)
 
 
 def gc_content(seq: Column) -> Column:

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder if the session has none: ``spark.checkpoint.dir``,
+    or a temporary folder, which only a driver that runs the tasks itself can share."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[.*\])?$", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/strandlake-checkpoints")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (u, v) reaches.
 
     Every step is a minimum per node, combined before its shuffle, and a join of
     the edges with one row per node. ``checkpoint`` cuts the lineage of a step.
     """
-    if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        edges.sparkSession.sparkContext.setCheckpointDir("strandlake-checkpoints")
+    ensure_checkpoints(edges.sparkSession)
     loops = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     edges = edges.filter("u <> v").select("u", "v").checkpoint()
     seen = None

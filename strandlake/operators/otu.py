@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import distance, seqfn
-from strandlake.operators.graph import components
+from strandlake.operators.graph import components, ensure_checkpoints
 
 
 def prepare(rows: DataFrame, least_length: int = 50) -> DataFrame:
@@ -28,14 +28,20 @@ def alleles(rows: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, keep: list[str], least_bases: int, cutoff: float | None) -> DataFrame:
-    found = pairs.withColumn("c", distance.counts(F.col("seq1"), F.col("seq2"))).select(*keep, "c.n", "c.ts", "c.tv")
-    found = found.filter(F.col("n") >= least_bases).withColumn("k2p", distance.k2p(F.col("n"), F.col("ts"), F.col("tv")))
-    return found if cutoff is None else found.filter(F.col("k2p") <= cutoff)
+    """Of pairs with bit planes p1 and p2."""
+    found = pairs.select(*keep, distance.measured(F.col("p1"), F.col("p2")).alias("c")).filter(F.col("c.n") >= least_bases)
+    found = found if cutoff is None else found.filter(F.col("c.k2p") <= cutoff)
+    return found.select(*keep, "c.*")
+
+
+def _side(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """One side of pairs: the columns numbered, the sequence and its bit planes."""
+    return rows.select(*(F.col(c).alias(f"{c}{k}") for c in columns), F.col("seq").alias(f"seq{k}"), distance.planes(F.col("seq")).alias(f"p{k}"))
 
 
 def all_pairs(rows: DataFrame, least_bases: int = 25) -> DataFrame:
     """id1 < id2 with n, ts, tv, k2p: every pair, for matrices. Quadratic by its result."""
-    a, b = rows.select(F.col("id").alias("id1"), F.col("seq").alias("seq1")), rows.select(F.col("id").alias("id2"), F.col("seq").alias("seq2"))
+    a, b = _side(rows, 1, "id"), _side(rows, 2, "id")
     return _distances(a.join(b, F.col("id1") < F.col("id2")), ["id1", "id2"], least_bases, None)
 
 
@@ -46,8 +52,7 @@ def near_pairs(rows: DataFrame, cutoff: float, least_bases: int = 25, length: in
     segments = min(length, int(math.floor(cutoff * length)) + 1)
     step = -(-length // segments)
     plain = F.col("seq").rlike("^[ACGT]*$") & (F.length("seq") == length)
-    a = rows.select(F.col("id").alias("id1"), F.col("seq").alias("seq1"))
-    b = rows.select(F.col("id").alias("id2"), F.col("seq").alias("seq2"))
+    a, b = _side(rows, 1, "id"), _side(rows, 2, "id")
 
     def keyed(side: DataFrame, k: int) -> DataFrame:
         seq = F.col(f"seq{k}")
@@ -59,7 +64,7 @@ def near_pairs(rows: DataFrame, cutoff: float, least_bases: int = 25, length: in
     first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), same), True) - 1
     exact = keyed(a, 1).join(keyed(b, 2), (F.col("key1") == F.col("key2")) & (F.col("id1") < F.col("id2"))).filter(F.col("key1.at") == first)
     found = _distances(exact, ["id1", "id2"], least_bases, cutoff)
-    odd = rows.filter(~plain).select(F.col("id").alias("id1"), F.col("seq").alias("seq1"))
+    odd = _side(rows.filter(~plain), 1, "id")
     others = odd.join(b, F.col("id1") != F.col("id2"))
     rest = _distances(others, ["id1", "id2"], least_bases, cutoff).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "n", "ts", "tv", "k2p").distinct()
     return found.unionByName(rest)
@@ -99,6 +104,7 @@ def delimit(rows: DataFrame, cutoff: float = 0.02, least_bases: int = 25, least_
     become representatives themselves, in input order. Clusters are the
     components of these links, not of all near pairs.
     """
+    ensure_checkpoints(rows.sparkSession)
     rows = prepare(rows, least_length)
     distinct = rows.groupBy("seq").agg(F.max_by("id", "ord").alias("id"), F.min("ord").alias("ord")).checkpoint()
     edges = near_pairs(distinct, cutoff, least_bases=0).checkpoint()
@@ -139,7 +145,7 @@ def summarize(members: DataFrame) -> DataFrame:
 def intra_pairs(members: DataFrame, least_bases: int = 25) -> DataFrame:
     """Pairs of distinct sequences within each cluster, with distances."""
     one = members.select("otu", "seq").distinct()
-    pairs = one.withColumnRenamed("seq", "seq1").join(one.withColumnRenamed("seq", "seq2"), "otu").filter("seq1 < seq2")
+    pairs = _side(one, 1, "otu").withColumnRenamed("otu1", "otu").join(_side(one, 2, "otu").withColumnRenamed("otu2", "otu"), "otu").filter("seq1 < seq2")
     return _distances(pairs, ["otu", "seq1", "seq2"], least_bases, None)
 
 
@@ -159,14 +165,23 @@ def exemplars(members: DataFrame, how_many: int = 1, seed: int = 1) -> DataFrame
 
 
 def nearest(exemplar: DataFrame, how_many: int = 3, least_bases: int = 25, compat: bool = False) -> DataFrame:
-    """The nearest other clusters by their exemplars (otu, seq); ``compat`` skips the nearest one."""
-    a, b = exemplar.select(F.col("otu").alias("otu"), F.col("seq").alias("seq1")), exemplar.select(F.col("otu").alias("other"), F.col("seq").alias("seq2"))
-    found = _distances(a.join(b, F.col("otu") != F.col("other")), ["otu", "other"], least_bases, None)
+    """The nearest other clusters by their exemplars (otu, seq); ``compat`` skips the nearest one.
+
+    Distances are told apart to nine places; ties go to the least other cluster.
+    """
+    a, b = _side(exemplar, 1, "otu").withColumnRenamed("otu1", "otu"), _side(exemplar, 2, "otu").withColumnRenamed("otu2", "other")
+    found = _distances(a.join(b, F.col("otu") != F.col("other")), ["otu", "other"], least_bases, None).withColumn("k2p", F.round("k2p", 9))
     rank = F.row_number().over(Window.partitionBy("otu").orderBy("k2p", "other"))
     low = 2 if compat else 1
     return found.withColumn("rank", rank).filter(F.col("rank").between(low, low + how_many - 1)).select("otu", "other", "k2p", "rank")
 
 
+def from_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """id, n, ts, tv, k2p of each row (id, seq) to one reference sequence, a table of one row."""
+    one = _side(reference.limit(1), 2)
+    return _distances(_side(rows, 1, "id").withColumnRenamed("id1", "id").crossJoin(F.broadcast(one)), ["id"], -1, None)
+
+
 def name_scores(members: DataFrame) -> DataFrame:
     """Per name: clusters that hold it, and whether it is one to one with a cluster."""
     pairs = members.select("otu", "name").distinct()
@@ -191,6 +206,7 @@ def support(final: DataFrame, replicates: DataFrame, reps: int) -> DataFrame:
 
 def link_depth(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Members reached per round from each seed cluster: (otu, round, added), by breadth-first steps over links (q, r)."""
+    ensure_checkpoints(links.sparkSession)
     both = links.select(F.col("q").alias("p"), F.col("r").alias("s")).union(links.select("r", "q")).distinct()
     front = seeds.select(F.col("id").alias("otu"), F.col("id").alias("at"))
     seen, out, k = front, front.select("otu", F.lit(0).alias("round"), F.lit(1).cast("long").alias("added")).limit(0), 0

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.graph import ensure_checkpoints
 
-def ancestors(tree: DataFrame, most_levels: int = 64) -> DataFrame:
+
+def ancestors(tree: DataFrame) -> DataFrame:
     """(node, ancestor, levels, distance), each node its own ancestor at level 0.
 
-    Grows by one level per round until the roots are reached.
+    Doubles the levels known per round, so that a tree of any depth takes about
+    log2 of its depth in rounds; a cycle raises ValueError.
     """
-    up = tree.select(F.col("node").alias("n"), F.col("parent").alias("p"), F.coalesce("length", F.lit(0.0)).alias("len"))
-    front = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("levels"), F.lit(0.0).alias("distance"))
-    out = front
-    for _ in range(most_levels):
-        front = front.join(up, F.col("ancestor") == F.col("n")).filter("p IS NOT NULL").select("node", F.col("p").alias("ancestor"), F.col("levels") + 1, (F.col("distance") + F.col("len")).alias("distance")).toDF("node", "ancestor", "levels", "distance")
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front)
-    raise ValueError("the tree is deeper than most_levels, or has a cycle")
+    ensure_checkpoints(tree.sparkSession)
+    own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("levels"), F.lit(0.0).alias("distance"))
+    up = tree.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("levels"), F.coalesce("length", F.lit(0.0)).alias("distance"))
+    known, reach, nodes = up.checkpoint(), 1, tree.count()
+    while True:
+        # Ancestors past the highest one known: those of the node that is ``reach`` levels up.
+        top = known.filter(F.col("levels") == reach).select(F.col("node").alias("n"), F.col("ancestor").alias("via"), F.col("distance").alias("so_far"))
+        more = top.join(known, F.col("via") == F.col("node")).select(F.col("n").alias("node"), "ancestor", F.col("levels") + reach, F.col("so_far") + F.col("distance"))
+        more = more.toDF("node", "ancestor", "levels", "distance").checkpoint()
+        if more.isEmpty():
+            return own.unionByName(known)
+        known, reach = known.unionByName(more), 2 * reach
+        if reach > 2 * nodes:
+            raise ValueError("the tree has a cycle")
 
 
 def leaves(tree: DataFrame) -> DataFrame:

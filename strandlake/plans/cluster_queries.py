@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import distance, ids, seqfn
@@ -131,10 +130,7 @@ def exemplars(spark, sf):
 SELECT id1 AS otu, id2 AS other, round(k2p, 6) AS k2p, CAST(row_number() OVER (PARTITION BY id1 ORDER BY k2p, id2) AS INT) AS rank FROM p QUALIFY rank <= 3""")
 def nearest_clusters(spark, sf):
     ex = otu.exemplars(d.gapped(spark, sf, "supplier").withColumnRenamed("grp", "otu"))
-    a, b = ex.select("otu", F.col("seq").alias("seq1")), ex.select(F.col("otu").alias("other"), F.col("seq").alias("seq2"))
-    found = otu._distances(a.join(b, F.col("otu") != F.col("other")), ["otu", "other"], 25, None).withColumn("k2p", F.round("k2p", 9))
-    rank = F.row_number().over(Window.partitionBy("otu").orderBy("k2p", "other"))
-    return found.withColumn("rank", rank).filter("rank <= 3").select("otu", "other", F.round("k2p", 6).alias("k2p"), "rank")
+    return otu.nearest(ex, 3).select("otu", "other", F.round("k2p", 6).alias("k2p"), "rank")
 
 
 @query("distinct_last_id", f"SELECT seq, arg_max(id, ord) AS id, count(*) AS copies FROM {SEQ} GROUP BY seq")
@@ -161,9 +157,7 @@ def distance_classes(spark, sf):
 @query("quality_class", f"""WITH ref AS (SELECT seq FROM {SUP} WHERE ord = 1), p AS (SELECT id1 AS id, n, k2p FROM {pairs_sql('v', join="b.id = 'r' AND a.id <> 'r'")})
 SELECT id, CASE WHEN k2p < 0.3 AND n / 64 > 0.9 THEN 'pristine' WHEN k2p < 0.55 THEN 'potential' ELSE 'failed' END AS class FROM p""".replace("WITH ref", f"WITH v AS (SELECT id, seq FROM {SUP_GAPPED} UNION ALL SELECT 'r', seq FROM {SUP} WHERE ord = 1), ref"))
 def quality_class(spark, sf):
-    ref = d.sequences(spark, sf, "supplier").filter("ord = 1").select(F.col("seq").alias("seq2"))
-    rows = d.gapped(spark, sf, "supplier").select("id", F.col("seq").alias("seq1")).join(F.broadcast(ref))
-    p = otu._distances(rows, ["id"], -1, None)
+    p = otu.from_reference(d.gapped(spark, sf, "supplier"), d.sequences(spark, sf, "supplier").filter("ord = 1"))
     return p.select("id", F.when((F.col("k2p") < 0.3) & (F.col("n") / 64 > 0.9), "pristine").when(F.col("k2p") < 0.55, "potential").otherwise("failed").alias("class"))
 
 
