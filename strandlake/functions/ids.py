@@ -95,3 +95,22 @@ def short_key(value: Column, size: int = 7) -> Column:
 
 def percent_error(a: Column, b: Column) -> Column:
     return F.when(a != 0, F.abs(a - b) / a * 100)
+
+
+def field_order(ident: Column, order: tuple[int, ...], mark: str = "_") -> Column:
+    """The fields (from 1) of an identifier in another order, joined anew; absent ones are left out."""
+    parts = F.split(ident, "[|]")
+    return F.concat_ws(mark, *(F.get(parts, F.lit(k - 1)) for k in order))
+
+
+def fasta_cell(name: Column, accession: Column, seq: Column) -> Column:
+    return F.concat(F.lit(">"), name, F.lit("_"), accession, F.lit("$"), seq)
+
+
+def tagged(ident: Column, otu: Column) -> Column:
+    return F.concat(ident, F.lit("|"), otu.cast("string"))
+
+
+def without_tags(xml: Column) -> Column:
+    """Text of a piece of XML: tags go, white space is single."""
+    return F.trim(F.regexp_replace(F.regexp_replace(xml, "(?s)<[^>]*>", " "), r"\s+", " "))

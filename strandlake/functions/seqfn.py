@@ -17,12 +17,19 @@ IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "AC": "M", "AG": "R", "AT": "W"
 COMPLEMENT = ("ACGTRYKMBDHVSWN", "TGCAYRMKVHDBSWN")
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
 THREE_LETTERS = {"A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "Q": "Gln", "E": "Glu", "G": "Gly", "H": "His", "I": "Ile", "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val", "*": "Ter", "?": "Xaa"}
-#: Reduced alphabets: residues, and the letter of each one's class.
+#: Reduced alphabets, as residues and the letter of each one's class.
 REDUCED = {
     "hydrophobic": ("AVLIPMFWGSTYCNQKRHDE", "IIIIIIIIOOOOOOOOOOOO"),
     "charge": ("KRHDEACFGILMNPQSTVWY", "CCCAANNNNNNNNNNNNNNN"),
     "chemical": ("GAVLIFYWDEHKRSTCMNQP", "LLLLLRRRAABBBHHSSMMI"),
+    "structural": ("ACGPSTWYRNDQEHKILMFV", "AAAAAAAAEEEEEEEIIIII"),
+    "functional": ("DEHKRAFILMPVWCGNQSTY", "AACCCHHHHHHHHPPPPPPP"),
+    "dayhoff": ("CAGPSTDENQHKRILMVFWY", "ACCCCCDDDDEEEFFFFGGG"),
+    "sneath": ("ILVAGPMNQCSTDEKRFHWY", "AAACCCDDDEEEFFGGHHHH"),
+    "stanfel": ("ACGILMPSTVDENQFWYHKR", "AAAAAAAAAACCCCDDDEEE"),
 }
+#: Fixed value: codons that may start a protein under the standard code.
+STARTS = ("TTG", "CTG", "ATG")
 STOPS = ("TAA", "TAG", "TGA")
 
 
@@ -169,3 +176,36 @@ def reduced_alphabet(protein: Column, name: str) -> Column:
 def iupac_code(bases: Column) -> Column:
     """Code of a set of bases, given as an array."""
     return lookup(IUPAC, F.array_join(F.array_sort(F.array_distinct(bases)), ""), "N")
+
+
+def ambiguity_choices(seq: Column) -> Column:
+    """Per letter, the bases it stands for; a letter that is no code stands for itself."""
+    bases = {code: list(of) for of, code in IUPAC.items()}
+    table = F.create_map(*[x for code, of in bases.items() for x in (F.lit(code), F.array(*map(F.lit, of)))])
+    return F.transform(characters(seq), lambda c: F.coalesce(F.try_element_at(table, c), F.array(c)))
+
+
+def expansion_count(seq: Column) -> Column:
+    """How many sequences an ambiguous one stands for."""
+    return F.aggregate(ambiguity_choices(seq), F.lit(1).cast("long"), lambda n, of: n * F.size(of))
+
+
+def expansions(seq: Column) -> Column:
+    """All sequences that an ambiguous one stands for; as many as ``expansion_count`` says."""
+    longer = lambda made, of: F.flatten(F.transform(made, lambda m: F.transform(of, lambda b: F.concat(m, b))))
+    return F.aggregate(ambiguity_choices(seq), F.array(F.lit("")), longer)
+
+
+def one_letters(names: Column) -> Column:
+    """Three-letter residue names in a row as letters; an unknown one is X."""
+    table = {name.lower(): letter for letter, name in THREE_LETTERS.items()}
+    return F.array_join(F.transform(codons(names), lambda c: lookup(table, F.lower(c), "X")), "")
+
+
+def gap_to_star(seq: Column) -> Column:
+    return F.translate(seq, "-", "*")
+
+
+def cleaned_length(seq: Column) -> Column:
+    """Letters other than N."""
+    return F.length(F.regexp_replace(seq, "[nN]", "")).cast("long")

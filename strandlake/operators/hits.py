@@ -61,3 +61,18 @@ def matched_percent(hits: DataFrame, query_length) -> DataFrame:
 def labels(hits: DataFrame) -> DataFrame:
     """Composite label of a hit."""
     return hits.select("*", F.concat_ws("|", "qseqid", "sseqid", F.col("length").cast("string"), F.col("mismatch").cast("string")).alias("label"))
+
+
+def fractions(hits: DataFrame, query_length, missing: float = 0.3) -> DataFrame:
+    """Matches, their share and percent of each hit, and whether it lacks at most a share of the query."""
+    matches = (F.col("length") - F.col("mismatch")).cast("long")
+    long_enough = F.col("length") >= query_length - query_length * missing
+    return hits.withColumns({"matches": matches, "frac_identical": matches / F.col("length"), "percent_identity": 100 * matches / F.col("length"), "long_enough": long_enough})
+
+
+def totals(hits: DataFrame) -> DataFrame:
+    """Per query and subject: its hits, their length and matches in all, and the best bit score."""
+    matches = F.col("length") - F.col("mismatch")
+    return hits.groupBy("qseqid", "sseqid").agg(
+        F.count(F.lit(1)).alias("hsps"), F.sum("length").cast("long").alias("logical_length"), F.sum(matches).cast("long").alias("matches"), F.max("bitscore").alias("best"),
+    )

@@ -190,6 +190,20 @@ def name_scores(members: DataFrame) -> DataFrame:
     return pairs.join(sizes, "otu").groupBy("name").agg(F.count(F.lit(1)).alias("otus"), (score == 1).alias("one_to_one"))
 
 
+def used_once(members: DataFrame) -> DataFrame:
+    """One row: the share of names found in a single cluster only."""
+    per = members.groupBy("name").agg(F.countDistinct("otu").alias("otus"))
+    return per.agg((F.count_if(F.col("otus") == 1) / F.count(F.lit(1))).alias("used_once"))
+
+
+def link_strength(steps: DataFrame, abundance: DataFrame) -> DataFrame:
+    """Per cluster the percent of its members that each round but the last added, joined by _ ."""
+    last = Window.partitionBy("otu").orderBy(F.col("round").desc())
+    kept = steps.withColumn("from_end", F.row_number().over(last)).filter("from_end > 1").join(abundance, "otu")
+    share = F.struct("round", F.round(100 * F.col("added") / F.col("abundance")).cast("int").cast("string").alias("text"))
+    return kept.groupBy("otu").agg(F.array_join(F.transform(F.array_sort(F.collect_list(share)), lambda x: x["text"]), "_").alias("strength"))
+
+
 def lumping(members: DataFrame) -> DataFrame:
     """How many clusters hold how many names, and their share."""
     per = members.groupBy("otu").agg(F.countDistinct("name").alias("n_names"))

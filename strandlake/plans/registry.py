@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandlake.plans import alignment_queries, cluster_queries, sequence_queries, table_queries
+from strandlake.plans import alignment_queries, cluster_queries, row_queries, sequence_queries, table_queries
 
 FLAGSHIP = "otu_summary"
-_PARTS = (sequence_queries, cluster_queries, alignment_queries, table_queries)
+_PARTS = (sequence_queries, cluster_queries, alignment_queries, table_queries, row_queries)
 
 
 def queries() -> dict:

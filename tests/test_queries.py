@@ -5,7 +5,7 @@ import pytest
 
 from strandlake.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 SLOW = {"tree_monophyly", "tree_common_ancestors", "tree_clades", "otu_names", "otu_lumping", "otu_components", "document_trigrams"}
 
 
