@@ -49,7 +49,9 @@ MATCH = 50
 GRAM = 24
 STRIDE = 128
 #: Bytes of text of a batch: numpy holds some hundred times as much.
-BATCH = 1 << 20
+BATCH = 2 << 20
+#: Bytes of the input for a partition of an exchange, at most, as Spark estimates them.
+PARTITION_BYTES = 16 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
@@ -70,6 +72,11 @@ FLAGGED = "uid long, doc long, kind int, blob binary"
 
 def gram_hashes(buf: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Rolling hashes of all strings of each size, by doubling."""
+    def joined(head: np.ndarray, tail: np.ndarray, power: np.uint64) -> np.ndarray:
+        out = head * power
+        out += tail
+        return out
+
     h = _SPREAD[buf]
     out = {s: (None, 0) for s in sizes}
     power, size = BASE, 1
@@ -81,11 +88,11 @@ def gram_hashes(buf: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray
                     out[s] = (h, size)
                 else:
                     n = len(h) - have
-                    out[s] = (got[:n] * power + h[have : have + n] if n > 0 else h[:0], have + size)
+                    out[s] = (joined(got[:n], h[have : have + n], power) if n > 0 else h[:0], have + size)
         if size * 2 > max(sizes):
             break
         n = len(h) - size
-        h = h[:n] * power + h[size : size + n] if n > 0 else h[:0]
+        h = joined(h[:n], h[size : size + n], power) if n > 0 else h[:0]
         with np.errstate(over="ignore"):
             power = power * power
         size *= 2
@@ -119,7 +126,8 @@ class Parsed:
         self.phrase_end = np.where(own, after + trigger, self.ends[self.phrase_doc])
         # The anchor of each window: the first of the least gram hashes in it.
         if len(self.windows):
-            key = grams[gram] & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams[gram]), dtype=np.uint64)
+            key = grams[gram] & np.uint64(0xFFFFFFFF00000000)
+            key |= np.arange(len(key), dtype=np.uint64)
             width, size = match - gram + 1, 1
             while size * 2 <= width:
                 key = np.minimum(key[:-size], key[size:])
@@ -200,6 +208,19 @@ def _per_doc(which: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.nd
         yield int(which[a]), values[a:b]
 
 
+def _by_bucket(route: np.ndarray, own: np.ndarray, buckets: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int, np.ndarray]]]:
+    """Order by bucket and document; and of each bucket its first and last place, and where its documents begin."""
+    bucket = (route % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((own, bucket))
+    bucket, own = bucket[order], own[order]
+    new = _heads(bucket, own)
+    head = _heads(bucket)
+    cuts = np.searchsorted(new, np.append(head, len(bucket))).tolist()
+    ends = np.append(head[1:], len(bucket)).tolist()
+    spans = zip(bucket[head].tolist(), head.tolist(), ends, cuts[:-1], cuts[1:], strict=True)
+    return order, ((b, first, last, new[a:z]) for b, first, last, a, z in spans)
+
+
 def _texts(part: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
 
@@ -225,12 +246,13 @@ def _parse(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> Itera
                 out.add(int(uid[d]) % buckets, DONE, int(uid[d]), int(doc[d]), bytes([ANCHOR]) + keys.astype("<u8").tobytes())
             many = np.minimum(np.diff(np.append(head, len(key))), 255).astype(np.uint8)
             key, own = key[head], own[head]
-            for b, at in _per_doc((key % np.uint64(buckets)).astype(np.int64), np.arange(len(key))):
-                by = at[np.argsort(own[at], kind="stable")]
-                docs, counts = np.unique(own[by], return_counts=True)
-                low = np.ascontiguousarray(key[by]).view(np.uint8).reshape(-1, 8)[:, :7].copy()
-                low[:, 6] = many[by]
-                out.add(b, ANCHOR, None, None, _pack(uid[docs], doc[docs], counts.astype("<u4"), low.reshape(-1)))
+            order, spans = _by_bucket(key, own, buckets)
+            own = own[order]
+            low = np.ascontiguousarray(key[order]).view(np.uint8).reshape(-1, 8)[:, :7].copy()
+            low[:, 6] = many[order]
+            for b, first, last, head in spans:
+                docs = own[head]
+                out.add(b, ANCHOR, None, None, _pack(uid[docs], doc[docs], np.diff(head, append=last).astype("<u4"), low[first:last].reshape(-1)))
             # Phrases: one entry per distinct phrase, at its least document here.
             digest, own = p.digests(), p.phrase_doc
             order = np.lexsort((uid[own], doc[own], digest[:, 1], digest[:, 0]))
@@ -321,11 +343,16 @@ def _members(keys: np.ndarray, doc: np.ndarray, flags: list[np.ndarray]) -> np.n
 
 def _send(out: _Out, p: Parsed, uid: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, own: np.ndarray, route: np.ndarray, buckets: int) -> None:
     """Pieces of text (start, size, document) to the buckets of their routes."""
-    for b, k in _per_doc((route % np.uint64(buckets)).astype(np.int64), np.arange(len(at))):
-        docs, index = np.unique(own[k], return_inverse=True)
-        text = p.buf[np.repeat(at[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())]
-        raw = _pack(text, size[k].astype("<u2"), uid[docs], doc[docs], index.astype("<u4"), (at[k] - p.starts[own[k]]).astype("<u4"))
-        out.add(b, SUFFIX, None, None, zstandard.compress(raw, 1))
+    order, spans = _by_bucket(route, own, buckets)
+    at, size, own = at[order], size[order], own[order]
+    ends = np.cumsum(size)
+    text = p.buf[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    short, pos, small = size.astype("<u2"), (at - p.starts[own]).astype("<u4"), zstandard.ZstdCompressor(level=1)
+    for b, first, last, head in spans:
+        docs = own[head]
+        index = np.repeat(np.arange(len(head), dtype="<u4"), np.diff(head, append=last))
+        raw = _pack(text[ends[first] - size[first] : ends[last - 1]], short[first:last], uid[docs], doc[docs], index, pos[first:last])
+        out.add(b, SUFFIX, None, None, small.compress(raw))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], buckets: int, match: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -474,8 +501,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__uid", F.xxhash64("__doc", "__text"))
 
 
-def _partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _partitions(docs: DataFrame) -> int:
+    """The session's, or as many as the input's estimated bytes ask for."""
+    found = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, found, -(-size // PARTITION_BYTES) if size < 1 << 55 else 0)  # beyond: not known
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> DataFrame:
@@ -484,7 +514,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
     The blobs of ``flags`` hold pairs of byte offsets; ``removed`` unites them.
     """
     texts = _keyed(docs).select(F.col("__uid").alias("uid"), F.col("__doc").alias("doc"), F.col("__text").alias("text"))
-    n = _partitions(docs.sparkSession)
+    n = _partitions(texts)
     buckets = SPREAD * n
     hot_docs = max(HOT_DOCS, docs.count() // HOT_SHARE)
     keys = texts.mapInArrow(lambda b: _parse(b, buckets, match), ROUTED).repartition(n, "bucket").mapInArrow(lambda b: _match_keys(b, hot_docs), FLAGGED)
