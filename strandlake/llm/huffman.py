@@ -314,7 +314,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; a null doc_id comes first and
     stays null; repeated rows are written each; documents that share a doc_id
-    are ordered by their ids; an empty table gives no file and no rows.
+    are ordered by their ids; a very long text is one block; other columns are
+    not read; an empty table gives no file and no rows.
     """
     scratch = Scratch(spark, "op5")
     out = f"{scratch.path}/files"

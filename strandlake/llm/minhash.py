@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, p
     fewer words than a shingle has is one shingle, one without words none, and
     is linked with nothing. Rows with a null doc_id are linked with nothing, and
     kept; rows that share a doc_id are one document, whose links are those of
-    all of them.
+    all of them. Very long texts are compared whole; other columns are not read;
+    an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(docs.mapInArrow(lambda b: _signed(b, shingle_words), "doc_id long, n_shingles long, digest binary, keys array<long>"), "signed")

@@ -174,8 +174,8 @@ def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """A null doc_id is dealt and drawn as 0, a null text has no words."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    """Without a doc_id a document is dealt and drawn by its text; a null text has no words."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:

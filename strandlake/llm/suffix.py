@@ -600,7 +600,8 @@ def removal_digest(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
 
     A null text is empty; texts of fewer than ``match`` bytes lose nothing. A null
     doc_id comes after all others. Rows that share a doc_id never remove from
-    each other. An empty table gives no rows.
+    each other. Very long texts are taken whole; other columns are not read. An
+    empty table gives no rows.
     """
 
     def run(batches):

@@ -168,7 +168,8 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fits on labelled rows that are not held out: those first by a hash of doc_id, ``train_rows`` at most.
 
-    Labels that are null or of unknown documents are passed over.
+    Labels that are null or of unknown documents are passed over; of documents
+    that share a doc_id the least text counts. Without rows the model scores all 0.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out("doc_id"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows)
@@ -180,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
                 found = [features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([o for o, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "own", "swapped"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id")
+    # One text of a doc_id, the least, so that no more rows come than were chosen.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(run, "doc_id long, toxic int, own array<int>, swapped array<int>").toArrow().sort_by("doc_id")
     return fit(got["own"].to_pylist(), got["swapped"].to_pylist(), got["toxic"].to_numpy())
 
@@ -217,8 +219,10 @@ def score(docs: DataFrame, model: Model, name: str = "score", verdict: str = "pr
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted per document.
 
-    A null or empty text has no words and is scored by the bias alone; a null
-    doc_id is not held out; repeated rows are scored each.
+    A null or empty text has no words and is scored by the bias alone; very long
+    texts are scored whole; a null doc_id is not held out; repeated rows are scored
+    each; other columns are not read; an empty table gives no rows, and without
+    labels nothing is predicted toxic.
     """
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     model = train(docs, table(spark, sf_dir, "labels"))
