@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import ids, seqfn
-from strandlake.operators import alignment, hierarchy, hits, otu, profile, rows
+from strandlake.operators import alignment, hierarchy, hits, matrix, otu, profile, restriction, rows
 from strandlake.plans import derived as d
+from strandlake.sources import features
 
 QUERIES, ORACLES = {}, {}
 SUP, GAPPED = d.sequences_sql("supplier"), d.gapped_sql("supplier")
@@ -303,3 +304,107 @@ def last_file_of_accession(spark, sf):
 def references_in_front(spark, sf):
     ref = d.sequences(spark, sf, "supplier").filter("ord <= 3").select("id", "seq", F.lit(True).alias("reference"))
     return ref.unionByName(_rows(spark, sf).select("id", "seq", F.lit(False).alias("reference")))
+
+
+# Matrices, digests and feature lines.
+_CELLS = "(SELECT CAST(o_orderkey % 5 AS BIGINT) AS row, CAST(o_custkey % 5 AS BIGINT) AS col, count(*) AS value FROM orders GROUP BY 1, 2)"
+
+
+def _cells(spark, sf):
+    o = d.table(spark, sf, "orders")
+    return o.groupBy((F.col("o_orderkey") % 5).cast("long").alias("row"), (F.col("o_custkey") % 5).cast("long").alias("col")).agg(F.count(F.lit(1)).alias("value"))
+
+
+@query("matrix_parts", f"WITH m AS {_CELLS} SELECT 'row' AS part, col AS at, value FROM m WHERE row = 2 UNION ALL SELECT 'column', row, value FROM m WHERE col = 3 UNION ALL SELECT 'diagonal', row, value FROM m WHERE row = col UNION ALL SELECT 'entry', row, value FROM m WHERE row = 1 AND col = 4")
+def matrix_parts(spark, sf):
+    m = _cells(spark, sf)
+    parts = {"row": matrix.row(m, 2).select(F.col("col").alias("at"), "value"), "column": matrix.column(m, 3).select(F.col("row").alias("at"), "value"), "diagonal": matrix.diagonal(m), "entry": matrix.entry(m, 1, 4).select(F.col("row").alias("at"), "value")}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("part"), "at", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("matrix_edited", f"WITH m AS {_CELLS} SELECT * FROM m WHERE row <> 0 AND col <> 1 UNION ALL SELECT 9, col, CAST(sum(value) AS BIGINT) FROM m WHERE row <> 0 AND col <> 1 GROUP BY col")
+def matrix_edited(spark, sf):
+    """Without a row and a column, and with a row of sums."""
+    m = matrix.without_column(matrix.without_row(_cells(spark, sf), 0), 1)
+    total = m.groupBy("col").agg(F.sum("value").alias("value")).select(F.lit(9).cast("long").alias("row"), "col", "value")
+    return matrix.with_cells(m, total)
+
+
+_ENZYMES = [("four", "GATC", 0), ("six", "GAATTC", 1), ("three", "CAG", 2), ("never", "AAAAAAAAAA", 5)]
+_ENZYMES_SQL = "(VALUES " + ", ".join(f"('{n}', '{s}', {c})" for n, s, c in _ENZYMES) + ") e(enzyme, site, cut)"
+_CUTS = f"(SELECT id, enzyme, CAST(i + cut - 1 AS BIGINT) AS position FROM (SELECT id, seq, unnest(range(1, 65)) AS i FROM {SUP}), {_ENZYMES_SQL} WHERE substr(seq, CAST(i AS INT), length(site)) = site)"
+
+
+@query("restriction_cuts", f"SELECT id, enzyme, position FROM {_CUTS}")
+def restriction_cuts(spark, sf):
+    return restriction.cut_positions(d.sequences(spark, sf, "supplier"), _ENZYMES)
+
+
+_COUNTS = f"(SELECT s.id, e.enzyme, count(c.position) AS cuts FROM {SUP} s CROSS JOIN {_ENZYMES_SQL} LEFT JOIN {_CUTS} c ON c.id = s.id AND c.enzyme = e.enzyme GROUP BY s.id, e.enzyme)"
+_LIST = "coalesce(string_agg(enzyme, ',' ORDER BY enzyme) FILTER (cuts {0}), '') AS {1}"
+
+
+@query("restriction_cutters", f"SELECT id, {_LIST.format('> 0', 'cutters')}, {_LIST.format('= 1', 'unique_cutters')}, {_LIST.format('= 0', 'zero_cutters')}, max(cuts) AS max_cuts FROM {_COUNTS} GROUP BY id")
+def restriction_cutters(spark, sf):
+    found = restriction.cutters(restriction.cuts_by_enzyme(d.sequences(spark, sf, "supplier"), _ENZYMES))
+    return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("cutters", "unique_cutters", "zero_cutters")), "max_cuts")
+
+
+@query("restriction_digest", f'WITH p AS (SELECT DISTINCT id, position FROM {_CUTS} UNION SELECT id, length(seq) FROM {SUP}), f AS (SELECT id, lag(position, 1, 0) OVER (PARTITION BY id ORDER BY position) + 1 AS start, position AS "end" FROM p) SELECT id, start, "end", "end" - start + 1 AS size FROM f WHERE start <= "end"')
+def restriction_digest(spark, sf):
+    return restriction.fragments(d.sequences(spark, sf, "supplier"), _ENZYMES)
+
+
+_FEATURES = f'(SELECT seq_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(id AS VARCHAR) AS name, CAST(id % 100 AS DOUBLE) AS score, strand FROM {d.RANGES_SQL})'
+
+
+def _features(spark, sf):
+    r = d.ranges(spark, sf)
+    return r.select("seq_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("id").cast("string").alias("name"), (F.col("id") % 100).cast("double").alias("score"), "strand")
+
+
+@query("bed_round_trip", f'SELECT seq_id, start, "end", name, score, strand FROM {_FEATURES}')
+def bed_round_trip(spark, sf):
+    """Features as BED lines, and read back."""
+    return features.parse_bed(features.bed_lines(_features(spark, sf)))
+
+
+@query("gtf_round_trip", f"""SELECT seq_id, 'exon' AS type, start, "end", name, score, strand FROM {_FEATURES}""")
+def gtf_round_trip(spark, sf):
+    return features.parse_gtf(features.gtf_lines(_features(spark, sf).withColumn("type", F.lit("exon")))).drop("attributes")
+
+
+@query("psl_alignments", "SELECT CAST(l_quantity AS BIGINT) AS matches, CAST(l_linenumber AS BIGINT) AS mismatches, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS strand, CAST(l_orderkey AS VARCHAR) AS qseqid, CAST(l_linenumber AS BIGINT) + 1 AS qstart, CAST(l_quantity AS BIGINT) + 10 AS qend, 's' || l_suppkey AS sseqid, CAST(l_partkey AS BIGINT) + 1 AS sstart, CAST(l_partkey AS BIGINT) + 60 AS send FROM lineitem")
+def psl_alignments(spark, sf):
+    """Line items as PSL lines, read."""
+    n, text = d.table(spark, sf, "lineitem"), lambda c: c.cast("long").cast("string")
+    zero, size = F.lit("0"), F.lit("100")
+    sign = F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+")
+    query_cells = (F.col("l_orderkey").cast("string"), size, text(F.col("l_linenumber")), text(F.col("l_quantity") + 10))
+    subject_cells = (F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), size, text(F.col("l_partkey")), text(F.col("l_partkey") + 60))
+    lines = n.select(F.concat_ws("\t", text(F.col("l_quantity")), text(F.col("l_linenumber")), *[zero] * 6, sign, *query_cells, *subject_cells, F.lit("1")).alias("value"))
+    return features.parse_psl(lines)
+
+
+# The genetic code by residue, joined sequences, members of clusters.
+@query("codons_of_residues", "SELECT residue, string_agg(codon, ',' ORDER BY codon) AS codons, count(*) AS n FROM (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in seqfn.genetic_code().items() if c != "---") + ") t(codon, residue) GROUP BY residue")
+def codons_of_residues(spark, sf):
+    table = spark.createDataFrame([(c, a) for c, a in seqfn.genetic_code().items() if c != "---"], "codon string, residue string")
+    return table.groupBy("residue").agg(F.array_join(F.array_sort(F.collect_list("codon")), ",").alias("codons"), F.count(F.lit(1)).alias("n"))
+
+
+@query("joined_sequences", f"SELECT grp, string_agg(seq, '' ORDER BY ord) AS seq, CAST(sum(length(seq)) AS BIGINT) AS length FROM {SUP} GROUP BY grp")
+def joined_sequences(spark, sf):
+    parts = F.array_sort(F.collect_list(F.struct("ord", "seq")))
+    found = d.sequences(spark, sf, "supplier").groupBy("grp").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+    return found.withColumn("length", F.length("seq").cast("long"))
+
+
+@query("cluster_members", f"SELECT grp AS family, string_agg(id, ',' ORDER BY id) AS members, count(*) AS size FROM {SUP} GROUP BY grp")
+def cluster_members(spark, sf):
+    members = F.array_join(F.array_sort(F.collect_list("id")), ",")
+    return d.sequences(spark, sf, "supplier").groupBy(F.col("grp").alias("family")).agg(members.alias("members"), F.count(F.lit(1)).alias("size"))
