@@ -1,9 +1,11 @@
 """Delimiting clusters at a genetic-distance cutoff, and what is told of them.
 
 Exact duplicates are paired once. Pairs within the cutoff are found by blocking:
-a pair of sequences with at most d mismatches shares one of d + 1 segments, so
-an equi-join on (segment, text) finds it. Sequences with gaps or other letters
-are outside that argument and are paired with all; those are meant to be few.
+mismatches and gaps leave a pair one segment at least that is whole and equal in
+both, so an equi-join on (segment, text) finds it, also where rows have gaps at
+their ends and a few inside. Sequences that cover less than the middle half of
+the alignment, or have many gaps inside, are paired with all; those are meant to
+be few.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import distance, seqfn
 from strandlake.operators.graph import components, ensure_checkpoints
 
+#: Segments are not made shorter than this for the sake of gaps inside a sequence.
+LEAST_SEGMENT = 6
+
 
 def prepare(rows: DataFrame, least_length: int = 50) -> DataFrame:
     """Masked rows (ord, id, name, seq) of at least ``least_length`` bases."""
@@ -45,27 +50,47 @@ def all_pairs(rows: DataFrame, least_bases: int = 25) -> DataFrame:
     return _distances(a.join(b, F.col("id1") < F.col("id2")), ["id1", "id2"], least_bases, None)
 
 
-def near_pairs(rows: DataFrame, cutoff: float, least_bases: int = 25, length: int | None = None) -> DataFrame:
-    """id1 < id2 with k2p <= cutoff among distinct sequences (id, seq)."""
+def segment_length(cutoff: float, least: int, length: int, spoiled: int) -> int:
+    """Columns of a segment, or 0 if there is none that serves.
+
+    Two rows within the cutoff that overlap in n columns, ``least`` to ``length``,
+    have (n + 1) // size - 1 whole segments there or more. Mismatches change at
+    most cutoff * n of them, and each row spoils at most ``spoiled``: one is left
+    that is whole and equal in both.
+    """
+    return min((n + 1) // (int(cutoff * n + 1e-9) + 2 + 2 * spoiled) for n in range(least, length + 1))
+
+
+def near_pairs(rows: DataFrame, cutoff: float, least_bases: int = 25, length: int | None = None, spoiled: int = 2) -> DataFrame:
+    """id1 < id2 with k2p <= cutoff among distinct sequences (id, seq).
+
+    Rows whose bases begin in the first quarter and end in the last one, with up to
+    ``spoiled`` segments broken by gaps or other letters in between (fewer where
+    segments would get shorter than ``LEAST_SEGMENT``), meet by segment; others are
+    compared with all.
+    """
     if length is None:
         length = rows.agg(F.max(F.length("seq"))).first()[0] or 1
-    segments = min(length, int(math.floor(cutoff * length)) + 1)
-    step = -(-length // segments)
-    plain = F.col("seq").rlike("^[ACGT]*$") & (F.length("seq") == length)
-    a, b = _side(rows, 1, "id"), _side(rows, 2, "id")
-
-    def keyed(side: DataFrame, k: int) -> DataFrame:
-        seq = F.col(f"seq{k}")
-        parts = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.struct(i.alias("at"), F.substring(seq, i * step + 1, F.lit(step)).alias("text")))
-        return side.filter(seq.rlike("^[ACGT]*$") & (F.length(seq) == length)).select("*", F.explode(parts).alias(f"key{k}"))
+    margin = length // 4
+    sizes = [(k, segment_length(cutoff, length - 2 * margin, length, k)) for k in range(spoiled, -1, -1)]
+    spoiled, size = next((x for x in sizes if x[1] >= LEAST_SEGMENT), sizes[-1])
+    step = max(size, 1)
+    segments = F.transform(F.regexp_extract_all("seq", F.lit(f"(?s).{{{step}}}"), F.lit(0)), lambda s: F.when(s.rlike("^[ACGT]+$"), s))
+    first = F.length(F.regexp_extract("seq", "^[^ACGT]*", 0))
+    last = F.length("seq") - F.length(F.regexp_extract(F.reverse("seq"), "^[^ACGT]*", 0))
+    broken = F.floor(last / step) - F.ceil(first / step) - F.size(F.filter("segments", lambda s: s.isNotNull()))
+    wide = (F.length("seq") <= length) & (first <= margin) & (last >= length - margin) & (broken <= spoiled) & F.lit(size > 0)
+    known = rows.select("id", "seq", segments.alias("segments")).withColumn("wide", wide)
+
+    def keyed(k: int) -> DataFrame:
+        side = known.filter("wide").select(F.col("id").alias(f"id{k}"), distance.planes(F.col("seq")).alias(f"p{k}"), F.col("segments").alias(f"s{k}"))
+        return side.select("*", F.posexplode(f"s{k}").alias(f"at{k}", f"text{k}"))
 
     # The first shared segment alone gives the pair, so that none comes twice.
-    same = lambda i: F.substring("seq1", i * step + 1, F.lit(step)) == F.substring("seq2", i * step + 1, F.lit(step))
-    first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), same), True) - 1
-    exact = keyed(a, 1).join(keyed(b, 2), (F.col("key1") == F.col("key2")) & (F.col("id1") < F.col("id2"))).filter(F.col("key1.at") == first)
+    first_shared = F.array_position(F.zip_with("s1", "s2", lambda x, y: x == y), True) - 1 == F.col("at1")
+    exact = keyed(1).join(keyed(2), (F.col("at1") == F.col("at2")) & (F.col("text1") == F.col("text2")) & (F.col("id1") < F.col("id2"))).filter(first_shared)
     found = _distances(exact, ["id1", "id2"], least_bases, cutoff)
-    odd = _side(rows.filter(~plain), 1, "id")
-    others = odd.join(b, F.col("id1") != F.col("id2"))
+    others = _side(known.filter(~F.col("wide")), 1, "id").join(_side(rows, 2, "id"), F.col("id1") != F.col("id2"))
     rest = _distances(others, ["id1", "id2"], least_bases, cutoff).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "n", "ts", "tv", "k2p").distinct()
     return found.unionByName(rest)
 
