@@ -113,7 +113,7 @@ def sliding_windows(spark, sf):
 def codon_usage(spark, sf):
     from pyspark.sql import Window
 
-    n = d.sequences(spark, sf).select(F.explode(seqfn.codons(F.substring("seq", 1, 63))).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
+    n = d.sequences(spark, sf).select(F.explode(seqfn.codons(F.col("seq"))).alias("codon")).filter("length(codon) = 3").groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("aa", seqfn.lookup(seqfn.genetic_code(), F.col("codon"), "?"))
     return n.select("codon", "aa", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("aa")), 6).alias("relative"), F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
 
@@ -171,13 +171,21 @@ def sanitized_fields(spark, sf):
     return p.select(F.col("p_partkey").cast("long").alias("ord"), ids.sanitized(F.col("p_name")).alias("name"), ids.capped(F.col("p_type"), 20).alias("capped"), ids.stem(F.concat("p_brand", F.lit(".fas.gz"))).alias("stem"))
 
 
-@query("lineage_strings", """SELECT CAST(n_nationkey AS INT) AS n, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE r_name || ';' || n_name END AS lineage, sha1(r_name || ',' || n_name) AS digest, round(abs(n_nationkey + 1 - r_regionkey) / (n_nationkey + 1) * 100, 6) AS error FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < n_name""")
-def lineage_strings(spark, sf):
-    rows = d.table(spark, sf, "nation").join(d.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_name < n_name")
+def _lineages(rows):
     ranks = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("root"), "r_name", F.lit("COMMENT"), "n_name")).otherwise(F.array(F.lit("root"), "r_name", "n_name"))
     return rows.select(F.col("n_nationkey").cast("int").alias("n"), ids.lineage(ranks).alias("lineage"), ids.membership_digest(F.array("n_name", "r_name")).alias("digest"), F.round(ids.percent_error(F.col("n_nationkey") + 1, F.col("r_regionkey")), 6).alias("error"))
 
 
+@query("lineage_strings", """SELECT CAST(n_nationkey AS INT) AS n, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE r_name || ';' || n_name END AS lineage, sha1(r_name || ',' || n_name) AS digest, round(abs(n_nationkey + 1 - r_regionkey) / (n_nationkey + 1) * 100, 6) AS error FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < n_name""")
+def lineage_strings(spark, sf):
+    return _lineages(d.table(spark, sf, "nation").join(d.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_name < n_name"))
+
+
+@query("lineage_strings_all", """SELECT CAST(n_nationkey AS INT) AS n, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE r_name || ';' || n_name END AS lineage, sha1(least(r_name, n_name) || ',' || greatest(r_name, n_name)) AS digest, round(abs(n_nationkey + 1 - r_regionkey) / (n_nationkey + 1) * 100, 6) AS error FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def lineage_strings_all(spark, sf):
+    return _lineages(d.table(spark, sf, "nation").join(d.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+
+
 @query("document_trigrams", "SELECT kmer, count(*) AS n FROM (SELECT substr(text, CAST(unnest(range(1, length(text) - 1)) AS INT), 3) AS kmer FROM documents) GROUP BY kmer")
 def document_trigrams(spark, sf):
     rows = d.table(spark, sf, "documents").select(F.explode(seqfn.windows(F.col("text"), 3, 1)).alias("w"))
