@@ -115,6 +115,29 @@ def gene_partitions(spark, sf):
     return alignment.gene_partitions(_genes(spark, sf))
 
 
+#: Start and length of three genes that cover all 64 bases; a row lacks a gene whose piece begins with A.
+_WHOLE_GENES = ((1, 21), (22, 21), (43, 22))
+
+
+def _genes_all(spark, sf):
+    s = d.sequences(spark, sf, "supplier")
+    cuts = F.array(*(F.struct(F.lit(f"gene{k}").alias("gene"), F.substring("seq", at, size).alias("seq")) for k, (at, size) in enumerate(_WHOLE_GENES)))
+    return s.select("id", F.explode(cuts).alias("cut")).select("cut.gene", "id", "cut.seq").filter("NOT startswith(seq, 'A')")
+
+
+_GENES_ALL = "(" + " UNION ALL ".join(f"SELECT 'gene{k}' AS gene, id, substr(seq, {at}, {size}) AS seq FROM {SUP} WHERE substr(seq, {at}, 1) <> 'A'" for k, (at, size) in enumerate(_WHOLE_GENES)) + ")"
+
+
+@query("supermatrix_all", f"WITH g AS {_GENES_ALL}, z AS (SELECT gene, max(length(seq)) AS n FROM g GROUP BY gene) SELECT i.id, string_agg(coalesce(g.seq, repeat('-', CAST(z.n AS INT))), '' ORDER BY z.gene) AS seq FROM (SELECT DISTINCT id FROM g) i CROSS JOIN z LEFT JOIN g ON g.id = i.id AND g.gene = z.gene GROUP BY i.id")
+def supermatrix_all(spark, sf):
+    return alignment.supermatrix(_genes_all(spark, sf))
+
+
+@query("gene_partitions_all", f"SELECT gene, CAST(sum(n) OVER (ORDER BY gene) - n + 1 AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY gene) AS BIGINT) AS \"end\" FROM (SELECT gene, max(length(seq)) AS n FROM {_GENES_ALL} GROUP BY gene)")
+def gene_partitions_all(spark, sf):
+    return alignment.gene_partitions(_genes_all(spark, sf))
+
+
 @query("contig_append", f"SELECT grp AS file, min(id) AS id, string_agg(seq, chr(10) ORDER BY ord) AS seq FROM {SUP} GROUP BY grp")
 def contig_append(spark, sf):
     return alignment.appended(d.sequences(spark, sf, "supplier").withColumnRenamed("grp", "file"))
