@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKER = "COI_5P"
+#: Fixed value: the field that a tag rewrite leaves out.
+MARKER_FIELD = "COI-5P"
 
 
 def fields(value: Column, mark: str = "|") -> Column:
@@ -41,12 +43,16 @@ def without_reference_mark(value: Column) -> Column:
     return F.replace(value, F.lit("_REFSEQ_"), F.lit(""))
 
 
-def tagged(value: Column, tag: Column) -> Column:
-    """Drops the field COI-5P, joins the last field with _ and appends the tag."""
-    f = F.array_remove(fields(value), "COI-5P")
-    n = F.size(f)
-    body = F.when(n > 1, F.concat(F.array_join(F.slice(f, 1, n - 1), "|"), F.lit("_"), F.get(f, n - 1))).otherwise(F.get(f, F.lit(0)))
-    return F.concat(body, F.coalesce(F.concat(F.lit("|"), tag), F.lit("")))
+def tagged(value: Column, tag: Column, compat: bool = False) -> Column:
+    """Without the field COI-5P, and with _ and the tag (none yet: empty) at the end.
+
+    ``compat`` ends with | instead where COI-5P was not the last field.
+    """
+    f = fields(value)
+    kept = F.array_remove(f, MARKER_FIELD)
+    inside = F.array_contains(f, MARKER_FIELD) & (F.element_at(f, -1) != MARKER_FIELD)
+    mark = F.when(inside, "|").otherwise("_") if compat else F.lit("_")
+    return F.concat(F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "|"), mark)).otherwise(""), F.coalesce(tag, F.lit("")))
 
 
 def binomial(value: Column, from_right: int = 1, least: int = 4) -> Column:
@@ -107,7 +113,7 @@ def fasta_cell(name: Column, accession: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), name, F.lit("_"), accession, F.lit("$"), seq)
 
 
-def tagged(ident: Column, otu: Column) -> Column:
+def with_cluster(ident: Column, otu: Column) -> Column:
     return F.concat(ident, F.lit("|"), otu.cast("string"))
 
 

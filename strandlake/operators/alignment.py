@@ -77,10 +77,10 @@ def residue_columns(columns: DataFrame) -> DataFrame:
 
 
 def against_reference(aligned: DataFrame, reference: str) -> DataFrame:
-    """Letters equal to the reference row's become dots."""
-    ref = aligned.filter(F.col("id") == reference).select(seqfn.characters(F.col("seq")).alias("r")).limit(1)
+    """Letters equal to the reference row's become dots. Without that row, rows as they are."""
+    ref = aligned.filter(F.col("id") == reference).agg(F.min(seqfn.characters(F.col("seq"))).alias("r"))
     dotted = F.array_join(F.zip_with(seqfn.characters(F.col("seq")), "r", lambda x, y: F.when(x == y, ".").otherwise(x)), "")
-    return aligned.crossJoin(F.broadcast(ref)).select("id", F.when(F.col("id") == reference, F.col("seq")).otherwise(dotted).alias("seq"))
+    return aligned.crossJoin(F.broadcast(ref)).select("id", F.when(F.col("id") == reference, F.col("seq")).otherwise(F.coalesce(dotted, "seq")).alias("seq"))
 
 
 def cigar(columns: DataFrame) -> DataFrame:

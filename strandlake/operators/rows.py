@@ -20,11 +20,11 @@ def by_list(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def reference_first(rows: DataFrame, reference: str) -> DataFrame:
-    """Places with the reference ahead of the others, which keep their order."""
+    """Places with the reference ahead of the others, which keep their order; all do where no row has that id."""
     own = F.col("id") == reference
-    before = rows.filter(own).select(F.col("ord").alias("ref_ord"))
-    at = F.when(own, F.lit(1)).when(F.col("ord") < F.col("ref_ord"), F.col("place") + 1).otherwise(F.col("place"))
-    return placed(rows).crossJoin(F.broadcast(before.limit(1))).withColumn("place", at.cast("long")).drop("ref_ord")
+    before = rows.filter(own).agg(F.min("ord").alias("ref_ord"))
+    at = F.when(F.col("ref_ord").isNull(), F.col("place")).when(own & (F.col("ord") == F.col("ref_ord")), F.lit(1)).when(F.col("ord") < F.col("ref_ord"), F.col("place") + 1).otherwise(F.col("place"))
+    return placed(rows).crossJoin(F.broadcast(before)).withColumn("place", at.cast("long")).drop("ref_ord")
 
 
 def at_places(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -60,10 +60,10 @@ def mapped(rows: DataFrame, pattern: str, to: str) -> DataFrame:
 
 
 def undotted(rows: DataFrame, reference: str) -> DataFrame:
-    """Dots become the letter of the reference row: the inverse of ``alignment.against_reference``."""
-    ref = rows.filter(F.col("id") == reference).select(seqfn.characters(F.col("seq")).alias("r")).limit(1)
+    """Dots become the letter of the reference row: the inverse of ``alignment.against_reference``. Without that row, rows as they are."""
+    ref = rows.filter(F.col("id") == reference).agg(F.min_by(seqfn.characters(F.col("seq")), "ord").alias("r"))
     full = F.array_join(F.zip_with(seqfn.characters(F.col("seq")), "r", lambda x, y: F.when(x == ".", y).otherwise(x)), "")
-    return rows.crossJoin(F.broadcast(ref)).withColumn("seq", full).drop("r")
+    return rows.crossJoin(F.broadcast(ref)).withColumn("seq", F.coalesce(full, "seq")).drop("r")
 
 
 def facts(rows: DataFrame) -> DataFrame:

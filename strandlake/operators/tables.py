@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.graph import ensure_checkpoints
+
 
 def carried_tag(rows: DataFrame, is_tag, tag) -> DataFrame:
     """Each row gets the tag of the last tag row before it, by ``part`` and ``ord``; tag rows go."""
@@ -94,8 +96,7 @@ def nearest(words: DataFrame, names: DataFrame) -> DataFrame:
     The cutoff doubles until every word has a name within it. A pair goes to the full
     distance when the letters that the name lacks are no more than the cutoff.
     """
-    if words.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        words.sparkSession.sparkContext.setCheckpointDir("strandlake-checkpoints")
+    ensure_checkpoints(words.sparkSession)
     words, names = words.filter("w IS NOT NULL").distinct().checkpoint(), names.filter("name IS NOT NULL").distinct().checkpoint()
     longest = lambda rows, c: rows.agg(F.max(F.length(c))).first()[0]
     some, full = longest(names, "name") is not None, max(longest(words, "w") or 0, longest(names, "name") or 0)

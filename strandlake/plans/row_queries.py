@@ -240,7 +240,7 @@ def three_letters_back(spark, sf):
 @query("reordered_fields", f"SELECT ord, array_to_string(list_filter([string_split(id, '|')[3], string_split(id, '|')[1], string_split(id, '|')[2]], lambda x: x IS NOT NULL), '_') AS label, id || '|' || CAST(ord % 10 AS VARCHAR) AS tagged FROM {d.IDENTIFIERS_SQL}")
 def reordered_fields(spark, sf):
     i = d.identifiers(spark, sf)
-    return i.select("ord", ids.field_order(F.col("id"), (3, 1, 2)).alias("label"), ids.tagged(F.col("id"), F.col("ord") % 10).alias("tagged"))
+    return i.select("ord", ids.field_order(F.col("id"), (3, 1, 2)).alias("label"), ids.with_cluster(F.col("id"), F.col("ord") % 10).alias("tagged"))
 
 
 @query("fasta_cells", f"SELECT ord, '>' || name || '_' || id || '$' || seq AS cell FROM {SUP}")
@@ -341,7 +341,7 @@ _CUTS = f"(SELECT id, enzyme, CAST(i + cut - 1 AS BIGINT) AS position FROM (SELE
 
 @query("restriction_cuts", f"SELECT id, enzyme, position FROM {_CUTS}")
 def restriction_cuts(spark, sf):
-    return restriction.cut_positions(d.sequences(spark, sf, "supplier"), _ENZYMES)
+    return restriction.cut_positions(d.sequences(spark, sf, "supplier"), _ENZYMES, both_strands=False)
 
 
 _COUNTS = f"(SELECT s.id, e.enzyme, count(c.position) AS cuts FROM {SUP} s CROSS JOIN {_ENZYMES_SQL} LEFT JOIN {_CUTS} c ON c.id = s.id AND c.enzyme = e.enzyme GROUP BY s.id, e.enzyme)"
@@ -350,13 +350,13 @@ _LIST = "coalesce(string_agg(enzyme, ',' ORDER BY enzyme) FILTER (cuts {0}), '')
 
 @query("restriction_cutters", f"SELECT id, {_LIST.format('> 0', 'cutters')}, {_LIST.format('= 1', 'unique_cutters')}, {_LIST.format('= 0', 'zero_cutters')}, max(cuts) AS max_cuts FROM {_COUNTS} GROUP BY id")
 def restriction_cutters(spark, sf):
-    found = restriction.cutters(restriction.cuts_by_enzyme(d.sequences(spark, sf, "supplier"), _ENZYMES))
+    found = restriction.cutters(restriction.cuts_by_enzyme(d.sequences(spark, sf, "supplier"), _ENZYMES, both_strands=False))
     return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("cutters", "unique_cutters", "zero_cutters")), "max_cuts")
 
 
 @query("restriction_digest", f'WITH p AS (SELECT DISTINCT id, position FROM {_CUTS} UNION SELECT id, length(seq) FROM {SUP}), f AS (SELECT id, lag(position, 1, 0) OVER (PARTITION BY id ORDER BY position) + 1 AS start, position AS "end" FROM p) SELECT id, start, "end", "end" - start + 1 AS size FROM f WHERE start <= "end"')
 def restriction_digest(spark, sf):
-    return restriction.fragments(d.sequences(spark, sf, "supplier"), _ENZYMES)
+    return restriction.fragments(d.sequences(spark, sf, "supplier"), _ENZYMES, both_strands=False)
 
 
 _FEATURES = f'(SELECT seq_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(id AS VARCHAR) AS name, CAST(id % 100 AS DOUBLE) AS score, strand FROM {d.RANGES_SQL})'
