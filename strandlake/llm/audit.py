@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import xxhash
 from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import table
@@ -107,9 +107,13 @@ def received(rows: Iterable[Routed]) -> Iterator[tuple[int | None, str, int, int
             yield doc_id, part, mask, n
 
 
+def _part() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+
+
 def masks(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, part, mask, n (rows like it) of documents (doc_id, lang, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _part().alias("part"), F.col("text").cast("string").alias("text"))
     routed: RDD = rows.rdd.mapPartitions(sent)
     if partitions is None:  # as many as Spark's own shuffles have, and more where the scan has more
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * routed.getNumPartitions())
@@ -169,7 +173,9 @@ def interactions(docs: DataFrame, labels: DataFrame, partitions: int | None = No
     an empty table gives no rows. Labels of unknown documents are passed over.
     """
     made = count_vectors(masks(docs, partitions), labels).flatMap(lambda x: report(*x))
-    return docs.sparkSession.createDataFrame(made, REPORT, verifySchema=False)
+    # The parts are those of the table; the join also shows in the plan what the RDD was made from.
+    parts = docs.select(_part().alias("part")).distinct()
+    return parts.join(docs.sparkSession.createDataFrame(made, REPORT, verifySchema=False), "part")
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
