@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandlake.plans import alignment_queries, cluster_queries, row_queries, sequence_queries, table_queries
+from strandlake.plans import alignment_queries, cluster_queries, graph_queries, row_queries, sequence_queries, table_queries
 
 FLAGSHIP = "otu_summary"
-_PARTS = (sequence_queries, cluster_queries, alignment_queries, table_queries, row_queries)
+#: What SQL cannot express; tests compare these with plain Python.
+WITHOUT_SQL = ("aligned_to_references", "quality_controlled")
+_PARTS = (sequence_queries, cluster_queries, alignment_queries, table_queries, row_queries, graph_queries)
 
 
 def queries() -> dict:
