@@ -365,3 +365,163 @@ def test_sites_of_either_strand_and_codes(spark):
     top = {(r.id, r.enzyme, r.position) for r in restriction.cut_positions(given, enzymes, both_strands=False).collect()}
     assert top == found - {("x", "one", 4)}
     assert [(r.start, r.end) for r in sorted(restriction.fragments(given, enzymes).filter("id = 'x'").collect())] == [(1, 4), (5, 7)]
+
+
+def plain_distances(rows):
+    """Between all leaves, over an undirected walk."""
+    near, below = {}, Counter(p for _, p, *_ in rows)
+    for v, p, _, length in rows:
+        if p is not None:
+            near.setdefault(v, []).append((p, length or 0.0))
+            near.setdefault(p, []).append((v, length or 0.0))
+    out = {}
+
+    def walk(start, v, came, far):
+        out[start, v] = far
+        for w, length in near.get(v, ()):
+            if w != came:
+                walk(start, w, v, far + length)
+
+    tips = [v for v, *_ in rows if v not in below]
+    for v in tips:
+        walk(v, v, None, 0.0)
+    return {(a, b): round(x, 9) for (a, b), x in out.items() if b in tips}
+
+
+TREE = "node long, parent long, label string, length double"
+
+
+def test_new_roots_keep_leaves_apart_as_they_were(spark):
+    from strandlake.operators import rooting
+
+    rng = random.Random(3)
+    rows = [(v, p, f"n{v}", None if p is None else rng.choice([0.5, 1.0, 2.25, 3.0])) for v, p in random_tree(rng, 25)]
+    tree = spark.createDataFrame(rows, TREE)
+    want = plain_distances(rows)
+    tips = {a for a, _ in want}
+    depth = {r.node: (r.levels, r.depth) for r in rooting.root_distances(tree).collect()}
+    assert depth[0] == (0, 0.0) and all(depth[v] == (depth[p][0] + 1, depth[p][1] + x) for v, p, _, x in rows if p is not None)
+    inner = next(v for v, p, *_ in rows if v not in tips and v)
+    turned = [tuple(r) for r in rooting.reroot(tree, inner).collect()]
+    assert [v for v, p, *_ in turned if p is None] == [inner] and len(turned) == len(rows)
+    got = plain_distances(turned)
+    assert {k: got[k] for k in want} == want
+    a, b, far = rooting.farthest_leaves(tree)
+    assert far == max(want.values()) == want[a, b]
+    middle = [tuple(r) for r in rooting.midpoint_rooted(tree, 999).collect()]
+    got = plain_distances(middle)
+    assert {k: got[k] for k in want} == want and sum(x or 0 for *_, x in middle) == pytest.approx(sum(x or 0 for *_, x in rows))
+    root = next(v for v, p, *_ in middle if p is None)
+    deep = {r.node: r.depth for r in rooting.root_distances(spark.createDataFrame(middle, TREE)).collect()}
+    assert deep[a] == deep[b] == far / 2 and deep[root] == 0
+    assert {tuple(r) for r in rooting.reroot(tree, 0).collect()} == set(rows)
+
+
+def test_tiling_equals_counting_bases(spark, monkeypatch):
+    from strandlake.operators import tiling
+
+    monkeypatch.setattr(tiling, "STRETCH", 16)
+    rng = random.Random(9)
+    rows = []
+    for k in range(120):
+        start = rng.randint(1, 150)
+        end = start + rng.randint(0, 40)
+        n = rng.randint(0, end - start + 1)
+        rows.append((rng.choice("ab"), rng.choice([1, -1]), k, start, end, n, rng.randint(n, end - start + 1)))
+    hits = spark.createDataFrame(rows + rows[:2], "sseqid string, strand int, id long, start long, end long, identities long, conserved long")
+    rows += rows[:2]
+    by = ["sseqid", "strand"]
+    cover = {}
+    for s, t, k, start, end, same, kept in rows:
+        for x in range(start, end + 1):
+            cover.setdefault((s, t, x), []).append((same / (end - start + 1), kept / (end - start + 1)))
+    found = {(r.sseqid, r.strand): r for r in tiling.fractions(tiling.statistics(hits, by), F_lit(200)).collect()}
+    for key, r in found.items():
+        own = [v for (s, t, _), v in cover.items() if (s, t) == key]
+        mean = [sum(sum(x[k] for x in v) / len(v) for v in own) for k in (0, 1)]
+        assert r.length == len(own) and r.identities == pytest.approx(mean[0]) and r.conserved == pytest.approx(mean[1])
+        assert r.frac_aligned == len(own) / 200 and r.frac_identical_aligned == pytest.approx(mean[0] / len(own))
+    for r in tiling.components(hits, by).collect():
+        assert all(len(cover[r.sseqid, r.strand, x]) == r.covering for x in range(r.start, r.end + 1))
+    spans = {(r.sseqid, r.strand, r.start, r.end) for r in tiling.coverage_map(hits, by).collect()}
+    assert sum(e - b + 1 for *_, b, e in spans) == len(cover)
+    ends = {r[2]: r for r in rows}
+    for key in found:
+        kept = [r.id for r in tiling.first_tiling(hits, by).collect() if (r.sseqid, r.strand) == key]
+        assert {x for k in kept for x in range(ends[k][3], ends[k][4] + 1)} == {x for s, t, x in cover if (s, t) == key}
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def compatible(a, b):
+    both = [(x, y) for x, y in zip(a, b, strict=True) if x in "ACGT" and y in "ACGT"]
+    return bool(both) and all(x == y for x, y in both)
+
+
+def gapped_rows(rng, n=150):
+    parents = {s: ["".join(rng.choice("ACGT") for _ in range(70)) for _ in range(3)] for s in "xy"}
+    out = []
+    for k in range(n):
+        s = rng.choice("xy")
+        seq = list(rng.choice(parents[s]))
+        if rng.random() < 0.3:
+            seq[rng.randrange(70)] = rng.choice("ACGT")
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            at = rng.randrange(70)
+            seq[at : at + rng.choice([1, 3, 9])] = rng.choice(["-", "N"]) * len(seq[at : at + rng.choice([1, 3])])
+        text = ("".join(seq) + "-" * 70)[:70]
+        out.append((s, k, "-" * 40 + text[40:] if rng.random() < 0.1 else text))
+    return out + [("x", n, "-" * 70), ("x", n + 1, "-" * 70), ("y", n + 2, "A" + "-" * 69)]
+
+
+def test_haplotypes_equal_loops(spark):
+    from strandlake.operators import haplotypes
+
+    rows = gapped_rows(random.Random(21))
+    frame = spark.createDataFrame(rows, "sample string, ord long, seq string")
+    texts = {(s, t): min(k for x, k, u in rows if (x, u) == (s, t)) for s, _, t in rows}
+    pairs = {(s, *sorted((i, j))) for ((s, a), i), ((t, b), j) in itertools.combinations(texts.items(), 2) if s == t and compatible(a, b)}
+    distinct = spark.createDataFrame([(s, k, t) for (s, t), k in texts.items()], "sample string, ord long, seq string")
+    assert {tuple(r) for r in haplotypes.compatible_pairs(distinct).collect()} == pairs and len(pairs) > 40
+    want = {k: min([t] + [u for x, u in texts if x == s and compatible(t, u)]) for s, k, t in rows}
+    assert {r.ord: r.haplotype for r in haplotypes.collapsed(frame).collect()} == want
+    made, loop = {}, {}
+    for s, k, t in rows:
+        own = made.setdefault(s, set())
+        if t not in own:
+            near = sorted(h for h in own if compatible(t, h))
+            loop[k] = near[0] if near else t
+            if not near:
+                own.add(t)
+        else:
+            loop[k] = t
+    assert {r.ord: r.haplotype for r in haplotypes.first_compatible(frame).collect()} == loop and loop != want
+    assert haplotypes.first_compatible(frame.limit(0)).count() == 0
+
+
+def test_purge_equals_a_loop(spark):
+    from strandlake.operators import haplotypes
+
+    rng = random.Random(22)
+    parents = ["".join(rng.choice("ACGT") for _ in range(80)) for _ in range(4)]
+    rows = []
+    for k in range(90):
+        seq = "".join(c if rng.random() > 0.08 else rng.choice("ACGT") for c in rng.choice(parents))
+        rows.append((k, "-" * rng.choice([0, 0, 5]) + seq[5:] if k % 3 else seq))
+    rows = [(k, t.ljust(80, "-")) for k, t in rows]
+    kept = []
+    for k, t in rows:
+        def like(u, t=t):
+            both = [(x, y) for x, y in zip(t, u, strict=True) if x != "-" and y != "-"]
+            return sum(x == y for x, y in both) / len(both) if both else 0
+
+        if all(like(u) <= 0.88 for _, u in kept):
+            kept.append((k, t))
+    found = haplotypes.purged(spark.createDataFrame(rows, "ord long, seq string"), 0.88)
+    assert sorted(r.ord for r in found.collect()) == [k for k, _ in kept] and 4 < len(kept) < 80
+    starts = haplotypes.by_start(spark.createDataFrame([(1, "--A-C"), (2, "ACG"), (3, "---")], "ord long, seq string"))
+    assert [(r.ord, r.start, r.residues) for r in starts.collect()] == [(1, 3, 2), (2, 1, 3), (3, 4, 0)]
