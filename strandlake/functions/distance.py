@@ -127,3 +127,29 @@ def bounds(length: int, cutoff: float) -> tuple[int, int]:
         return k
 
     return most("ts"), most("tv")
+
+
+def _equals(text: str):
+    return lambda p: p == text
+
+
+def tajima_nei(seq1: Column, seq2: Column) -> Column:
+    """Tajima and Nei's distance, from all sixteen counts of base pairs; null where it can't be told."""
+    bases = "ACGT"
+    both = F.zip_with(F.split(F.upper(seq1), ""), F.split(F.upper(seq2), ""), lambda x, y: F.concat(x, y))
+    solid = F.filter(both, lambda p: p.rlike("^[ACGT]{2}$"))
+
+    def value(pairs: Column) -> Column:
+        n = F.size(pairs)
+        times = {x + y: F.size(F.filter(pairs, _equals(x + y))) for x in bases for y in bases}
+        share = {x: sum((times[x + y] + times[y + x] for y in bases), F.lit(0)) / (2 * n) for x in bases}
+        apart = 1 - sum((times[x + x] for x in bases), F.lit(0)) / n
+        h = F.lit(0.0)
+        for k, x in enumerate(bases):
+            for y in bases[k + 1 :]:
+                f = (times[x + y] + times[y + x]) / n
+                h = h + F.when(f > 0, f * f / 2 / (share[x] * share[y])).otherwise(0.0)
+        b = (1 - sum((share[x] * share[x] for x in bases), F.lit(0.0)) + F.try_divide(apart * apart, h)) / 2
+        return F.when((n > 0) & (apart == 0), 0.0).when((n > 0) & (h > 0) & (1 - apart / b > 0), -b * F.ln(1 - apart / b))
+
+    return _let(solid, value)
