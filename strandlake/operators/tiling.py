@@ -56,7 +56,8 @@ def statistics(hits: DataFrame, by: list[str]) -> DataFrame:
     evenly over its bases: the estimate for hits that come without their alignment.
     """
     size = F.col("end") - F.col("start") + 1
-    mean = lambda c: F.sum((size * F.col(c) / F.col("covering")).cast("double"))
+    # As doubles: a quotient of decimals of this length would be cut to six places.
+    mean = lambda c: F.sum(size * F.col(c).cast("double") / F.col("covering"))
     return components(hits, by).groupBy(*by).agg(F.sum(size).alias("length"), mean("identities").alias("identities"), mean("conserved").alias("conserved"), F.count(F.lit(1)).alias("components"))
 
 
