@@ -120,3 +120,31 @@ def with_cluster(ident: Column, otu: Column) -> Column:
 def without_tags(xml: Column) -> Column:
     """Text of a piece of XML: tags go, white space is single."""
     return F.trim(F.regexp_replace(F.regexp_replace(xml, "(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def renamed_from_parts(value: Column, order: tuple[int, ...] = (5, 6, 3)) -> Column:
+    """Parts (from 0) of an id cut at | and _, joined by _; a missing part is empty."""
+    parts = F.split(F.translate(value, "|", "_"), "_")
+    return F.array_join(F.array(*(F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in order)), "_")
+
+
+#: Fixed value: primer tokens of read headers.
+PRIMERS = "HCO[.]fna|mLepF1[.]fna|mLepR1[.]fna"
+
+
+def read_line(line: Column, site_place: int) -> Column:
+    """A cleaned line of a read file: a header with a primer gets the site, the part
+    ``site_place`` before the first primer's, after a |; a line of numbers (a quality line) is null.
+
+    Blanks become _. Lines with neither stay as they are.
+    """
+    plain = F.replace(F.regexp_replace(line, "\\x00$", ""), F.lit(" "), F.lit("_"))
+    parts = F.split(plain, "_")
+    at = F.array_min(F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(PRIMERS), i)), lambda x: x.isNotNull()))
+    header = F.concat(F.lit(">"), F.coalesce(F.get(F.split(plain, ">"), F.lit(1)), F.lit("")))
+    # Parts count only before the first that holds a >.
+    stop = F.array_min(F.filter(F.transform(parts, lambda x, i: F.when(F.contains(x, F.lit(">")), i)), lambda x: x.isNotNull()))
+    numbers = F.exists(F.slice(parts, 1, F.coalesce(stop, F.size(parts))), lambda x: x.rlike(r"^\s*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?\s*$"))
+    # A place before the first part counts from the end, as a negative index does.
+    site = F.get(parts, F.when(at >= site_place, at - site_place).otherwise(F.size(parts) + at - site_place))
+    return F.when(at.isNotNull(), F.concat_ws("|", header, F.coalesce(site, F.lit("")))).when(~numbers, plain)

@@ -114,3 +114,32 @@ def nearest(words: DataFrame, names: DataFrame) -> DataFrame:
     for more in found[1:]:
         out = out.union(more)
     return out
+
+
+def renamed_by_place(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (place, seq) with the name of the same place (place, name), blanks as _; rows beyond the names are left out."""
+    return rows.join(names.select("place", F.translate("name", " ", "_").alias("label")), "place")
+
+
+def discrepant(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows (id, name, seq) whose name is in another number of clusters (name, otu) than one, with that number (times)."""
+    times = clusters.groupBy("name").agg(F.count_distinct("otu").alias("times")).filter("times <> 1")
+    return rows.join(times, "name").select("id", "seq", "times")
+
+
+def site_shards(rows: DataFrame, compat: bool = False, exemplar: str | None = None) -> DataFrame:
+    """site, ord, value: FASTA records by site, the last field of ids read|accession|taxon|identity|site.
+
+    Ids become read|accession|identity|taxon. With ``exemplar`` each site begins with
+    that record (ord null). ``compat`` leaves out each site's first record. To be
+    written by site: ``write.partitionBy("site").text``.
+    """
+    part = lambda k: F.coalesce(F.get(F.split("id", "[|]"), F.lit(k)), F.lit(""))
+    value = F.concat(F.lit(">"), F.concat_ws("|", part(0), part(1), part(3), part(2)), F.lit("\n"), F.col("seq"))
+    out = rows.select(part(4).alias("site"), "ord", value.alias("value"))
+    sites = out.groupBy("site").agg(F.min("ord").alias("first"))
+    if compat:
+        out = out.join(sites, "site").filter(F.col("ord") > F.col("first")).drop("first")
+    if exemplar is not None:
+        out = sites.select("site", F.lit(None).cast("long").alias("ord"), F.lit(exemplar).alias("value")).unionByName(out.withColumn("ord", F.col("ord").cast("long")))
+    return out

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import ids, seqfn
-from strandlake.operators import codons, hierarchy, networks, pairwise_batch, parsimony, restriction
+from strandlake.operators import codons, hierarchy, networks, pairwise_batch, parsimony, restriction, tables
+from strandlake.operators import rows as rows_
 from strandlake.plans import derived as d
 
 QUERIES, ORACLES = {}, {}
@@ -36,6 +37,46 @@ def tag_rewrites(spark, sf):
     return i.select("ord", ids.tagged(marked, tag).alias("label"), ids.tagged(marked, tag, compat=True).alias("as_described"))
 
 
+@query("renamed_from_parts", f"SELECT ord, coalesce(p[6], '') || '_' || coalesce(p[7], '') || '_' || coalesce(p[4], '') AS label FROM (SELECT ord, string_split(replace(replace(id, '|', '_'), ' ', '_'), '_') AS p FROM {d.IDENTIFIERS_SQL})")
+def renamed_from_parts(spark, sf):
+    i = d.identifiers(spark, sf)
+    return i.select("ord", ids.renamed_from_parts(F.translate("id", " ", "_")).alias("label"))
+
+
+# Lines of a read file: headers with and without a primer, bases, qualities.
+_LINES = """SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN '>r' || p_partkey || ' ' || p_brand || ' HCO.fna x' WHEN 1 THEN 'ACGT ' || p_name WHEN 2 THEN '40 ' || p_size || ' 7' ELSE '>r' || p_partkey || ' 12 ' || p_brand END AS line FROM part"""
+
+
+@query("read_lines", f"WITH l AS (SELECT ord, replace(line, ' ', '_') AS line, string_split(replace(line, ' ', '_'), '_') AS p FROM ({_LINES})) SELECT ord, CASE ord % 4 WHEN 0 THEN line || '|' || p[2] ELSE line END AS line FROM l WHERE ord % 4 <> 2")
+def read_lines(spark, sf):
+    p = d.table(spark, sf, "part")
+    key, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    line = F.when(key % 4 == 0, F.concat(F.lit(">r"), text("p_partkey"), F.lit(" "), "p_brand", F.lit(" HCO.fna x"))).when(key % 4 == 1, F.concat(F.lit("ACGT "), "p_name")).when(key % 4 == 2, F.concat(F.lit("40 "), text("p_size"), F.lit(" 7"))).otherwise(F.concat(F.lit(">r"), text("p_partkey"), F.lit(" 12 "), "p_brand"))
+    return p.select(key.cast("long").alias("ord"), ids.read_line(line, 1).alias("line")).filter("line IS NOT NULL")
+
+
+@query("names_by_place", f"SELECT place, replace(name, ' ', '_') AS label, seq FROM (SELECT row_number() OVER (ORDER BY ord) AS place, seq FROM {SUP}) JOIN (SELECT row_number() OVER (ORDER BY p_partkey) AS place, p_name AS name FROM part) USING (place)")
+def names_by_place(spark, sf):
+    names = rows_.placed(d.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("ord"), F.col("p_name").alias("name")))
+    found = tables.renamed_by_place(rows_.placed(d.sequences(spark, sf, "supplier")).select("place", "seq"), names)
+    return found.select("place", "label", "seq")
+
+
+@query("discrepant_sequences", f"WITH m AS (SELECT x.id, x.seq, p_brand AS name, x.grp AS otu FROM {d.sequences_sql()} x JOIN part ON p_partkey = x.ord), t AS (SELECT name, count(DISTINCT otu) AS times FROM m GROUP BY name HAVING count(DISTINCT otu) <> 1) SELECT id, seq, times FROM m JOIN t USING (name)")
+def discrepant_sequences(spark, sf):
+    """Customers' sequences named by brands; a brand in several nations is discrepant."""
+    names = d.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"))
+    m = d.sequences(spark, sf).drop("name").join(names, "ord").withColumnRenamed("grp", "otu")
+    return tables.discrepant(m, m)
+
+
+@query("site_shards", f"SELECT site, ord, value FROM (SELECT 'site' || grp AS site, ord, '>r' || ord || '|' || id || '|99|' || name || chr(10) || seq AS value, row_number() OVER (PARTITION BY grp ORDER BY ord) AS k FROM {SUP}) WHERE k > 1 UNION ALL SELECT DISTINCT 'site' || grp, CAST(NULL AS BIGINT), '>exemplar' || chr(10) || 'ACGT' FROM {SUP}")
+def site_shards(spark, sf):
+    r = d.sequences(spark, sf, "supplier")
+    ident = F.concat_ws("|", F.concat(F.lit("r"), F.col("ord").cast("string")), "id", "name", F.lit("99"), F.concat(F.lit("site"), F.col("grp").cast("string")))
+    return tables.site_shards(r.select("ord", ident.alias("id"), "seq"), compat=True, exemplar=">exemplar\nACGT")
+
+
 # Sites: palindromes, one strand's sites, codes that stand for several bases.
 ENZYMES = [("four", "GATC", 0), ("three", "CAG", 2), ("wild", "GANTC", 1), ("apart", "CCWGG", 2), ("off", "ACTGG", 5, 4)]
 _COMPLEMENT = "reverse(translate({0}, 'ACGTWN', 'TGCAWN'))"
