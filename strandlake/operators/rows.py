@@ -61,7 +61,7 @@ def mapped(rows: DataFrame, pattern: str, to: str) -> DataFrame:
 
 def undotted(rows: DataFrame, reference: str) -> DataFrame:
     """Dots become the letter of the reference row: the inverse of ``alignment.against_reference``. Without that row, rows as they are."""
-    ref = rows.filter(F.col("id") == reference).agg(F.min_by(seqfn.characters(F.col("seq")), "ord").alias("r"))
+    ref = rows.filter(F.col("id") == reference).agg(F.min(seqfn.characters(F.col("seq"))).alias("r"))
     full = F.array_join(F.zip_with(seqfn.characters(F.col("seq")), "r", lambda x, y: F.when(x == ".", y).otherwise(x)), "")
     return rows.crossJoin(F.broadcast(ref)).withColumn("seq", F.coalesce(full, "seq")).drop("r")
 
