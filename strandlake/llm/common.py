@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but ASCII white space.
@@ -37,6 +40,25 @@ def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
         spark.conf.set(name, str(most_bytes))
 
 
+def lean(stage):
+    """A function of Arrow batches that gives its memory back to the system when its task ends.
+
+    Spark's Python workers live on; what one task's tables took would otherwise stay with
+    the worker while later stages need memory of their own.
+    """
+    @functools.wraps(stage)
+    def run(*args, **options):
+        try:
+            yield from stage(*args, **options)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Intermediate tables and files of one call, in the shared folder.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch
+from strandlake.llm.common import Scratch, lean
 
 EDGE = "u long, v long"
 
@@ -42,6 +42,7 @@ class UnionFind:
         return True
 
 
+@lean
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links each id to its root in this partition: at most as many rows as came in."""
     sets = UnionFind()

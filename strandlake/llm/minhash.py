@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, table
+from strandlake.llm.common import Scratch, lean, table
 from strandlake.llm.graph import components
 from strandlake.llm.tokens import slices
 
@@ -152,6 +152,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@lean
 def _signed(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(shingle_words)
     for batch in batches:
@@ -187,6 +188,7 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(shingle_words)
     for batch in batches:
@@ -196,6 +198,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, maps)], names=["id", "elements", *PARITY_NAMES])
 
 
+@lean
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good, apart = [], []
@@ -279,6 +282,7 @@ def _split(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     return now.join(largest, F.col("key") == F.col("k")).drop("k")
 
 
+@lean
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strandlake.llm.common import Scratch, table
+from strandlake.llm.common import Scratch, lean, table
 from strandlake.llm.minhash import mix64
 from strandlake.llm.tokens import slices
 
@@ -225,6 +225,7 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
 
 
+@lean
 def _parse(batches: Iterator[pa.RecordBatch], buckets: int, match: int) -> Iterator[pa.RecordBatch]:
     """Anchors and phrases of each batch, once each; what the batch itself repeats is flagged."""
     for batch in batches:
@@ -278,6 +279,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], out: _Out) -> dict[int, dict[in
     return held
 
 
+@lean
 def _match_keys(batches: Iterator[pa.RecordBatch], hot_docs: int) -> Iterator[pa.RecordBatch]:
     """Flags anchors that several documents have, and phrases that an earlier one has."""
     out = _flagged()
@@ -355,6 +357,7 @@ def _send(out: _Out, p: Parsed, uid: np.ndarray, doc: np.ndarray, at: np.ndarray
         out.add(b, SUFFIX, None, None, small.compress(raw))
 
 
+@lean
 def _suffixes(batches: Iterator[pa.RecordBatch], buckets: int, match: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Dictionary suffixes of each batch that may repeat; spans that are known to."""
     for batch in batches:
@@ -460,6 +463,7 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarra
     return order, _heads(ordered)
 
 
+@lean
 def _merge(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
     """The suffix array of each bucket; flags suffixes that an earlier document has."""
     out = _flagged()
@@ -579,6 +583,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
     """
     columns = docs.columns
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices([batch], "__text", BATCH):
@@ -604,6 +609,7 @@ def removal_digest(docs: DataFrame, scratch: Scratch, match: int = MATCH) -> Dat
     empty table gives no rows.
     """
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices([batch], "text", BATCH):

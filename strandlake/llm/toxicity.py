@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import small_batches, table
+from strandlake.llm.common import lean, small_batches, table
 from strandlake.llm.tokens import slices
 
 DIMS = 1 << 18
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices([batch], "text"):
@@ -194,6 +195,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", verdict: str = "pr
     small_batches(docs.sparkSession)
     docs = docs.drop(name, verdict).withColumn("text", F.col("text").cast("string"))
 
+    @lean
     def run(batches):
         known: dict[str, int] = {}
         for batch in batches:
